@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash
+from . import bpe, recompress, simhash
 from .common import table
 
 
@@ -17,8 +17,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_simhash_golay": over("documents", simhash.op4_simhash_golay),
         "op5_byte_bpe": over("documents", bpe.op5_byte_bpe),
+        "op9_substring_recompression": over("documents", recompress.op9_substring_recompression),
     }
 
 
+OP9_SQL = r"""
+WITH w AS (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rid,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+starts AS (
+  SELECT rid, p, md5(array_to_string(ws[p:p + 34], ' ')) AS k
+  FROM (SELECT rid, ws, unnest(range(1, len(ws) - 33)) AS p FROM w WHERE len(ws) >= 35)),
+again AS (SELECT k FROM starts GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT rid, p FROM starts SEMI JOIN again USING (k)),
+word AS (SELECT rid, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+marked AS (
+  SELECT word.rid, i, word,
+         max(CASE WHEN hit.p IS NULL THEN 0 ELSE 1 END)
+           OVER (PARTITION BY word.rid ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM word LEFT JOIN hit ON hit.rid = word.rid AND hit.p = word.i),
+kept AS (
+  SELECT rid, CAST(sum(gone) AS BIGINT) AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY i) FILTER (gone = 0), '') AS kept
+  FROM marked GROUP BY rid)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_substring_recompression": OP9_SQL,
+    }
