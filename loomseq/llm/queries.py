@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, recompress, simhash
+from . import bpe, linededup, recompress, simhash
 from .common import table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash_golay": over("documents", simhash.op4_simhash_golay),
         "op5_byte_bpe": over("documents", bpe.op5_byte_bpe),
         "op9_substring_recompression": over("documents", recompress.op9_substring_recompression),
+        "op10_line_chunks": over("documents", linededup.op10_line_chunks),
     }
 
 
@@ -46,8 +47,31 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n
 FROM w LEFT JOIN kept USING (rid)
 """
 
+OP10_SQL = r"""
+WITH line AS (
+  SELECT rid, doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i, len(ls) AS n
+  FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM line),
+rolled AS (
+  SELECT *, (lag(h, 2) OVER w * 66049 + lag(h) OVER w * 257 + h) % 1000003 AS r
+  FROM hashed WINDOW w AS (PARTITION BY rid ORDER BY i)),
+numbered AS (
+  SELECT *, 1 + coalesce(sum(CASE WHEN i >= 3 AND r % 4 = 0 THEN 1 ELSE 0 END)
+    OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS j
+  FROM rolled),
+chunk AS (
+  SELECT rid, doc_id, j, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n,
+         count(*) FILTER (regexp_matches(line, '\S')) >= 2 AS eligible
+  FROM numbered GROUP BY rid, doc_id, j),
+placed AS (SELECT *, row_number() OVER (PARTITION BY body, eligible ORDER BY doc_id, j) > 1 AND eligible AS gone FROM chunk)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(body, chr(10) ORDER BY j) FILTER (NOT gone), '')) AS kept_sha256
+FROM placed GROUP BY rid, doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op9_substring_recompression": OP9_SQL,
+        "op10_line_chunks": OP10_SQL,
     }
