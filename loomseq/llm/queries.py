@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, linededup, recompress, simhash
+from . import bpe, iblt, linededup, recompress, simhash
 from .common import table
 
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_simhash_golay": over("documents", simhash.op4_simhash_golay),
         "op5_byte_bpe": over("documents", bpe.op5_byte_bpe),
+        "op8_iblt_fingerprints": over("documents", iblt.op8_iblt_fingerprints),
         "op9_substring_recompression": over("documents", recompress.op9_substring_recompression),
         "op10_line_chunks": over("documents", linededup.op10_line_chunks),
     }
