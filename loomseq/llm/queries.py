@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, iblt, linededup, recompress, simhash
+from . import bpe, iblt, linededup, mixing, recompress, simhash, warc
 from .common import table
 
 
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return lambda spark, sf_dir: op(table(spark, sf_dir, name))
 
     return {
+        "op1_mix_knapsack": over("documents", mixing.op1_mix_knapsack),
+        "op3_warc_content_addressed": over("pages", warc.op3_warc_content_addressed),
         "op4_simhash_golay": over("documents", simhash.op4_simhash_golay),
         "op5_byte_bpe": over("documents", bpe.op5_byte_bpe),
         "op8_iblt_fingerprints": over("documents", iblt.op8_iblt_fingerprints),
@@ -73,6 +75,7 @@ FROM placed GROUP BY rid, doc_id
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_warc_content_addressed": warc.OP3_SQL,
         "op9_substring_recompression": OP9_SQL,
         "op10_line_chunks": OP10_SQL,
     }
