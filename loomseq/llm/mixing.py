@@ -96,7 +96,7 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), bud
     )
     level = (F.col("whole") - F.col("below")) / F.col("rest")
     fits = F.when(level * F.col("weight") <= F.col("top"), level)
-    s = s.withColumn("level", F.min(fits).over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    s = s.withColumn("level", F.max(fits).over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     return s.select(_key(F.col("source")).alias("mix_key"), "source_size", F.least("top", F.coalesce(F.col("level") * F.col("weight"), F.col("top"))).alias("target"))
 
 
