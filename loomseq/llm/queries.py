@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, iblt, linededup, mixing, recompress, simhash, warc
+from . import bpe, chat, iblt, linededup, media, mixing, recompress, simhash, warc
 from .common import table
 
 
@@ -19,6 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc_content_addressed": over("pages", warc.op3_warc_content_addressed),
         "op4_simhash_golay": over("documents", simhash.op4_simhash_golay),
         "op5_byte_bpe": over("documents", bpe.op5_byte_bpe),
+        "op6_chat_columnar": over("conversations", chat.op6_chat_columnar),
+        "op7_media_netpbm": over("documents", media.op7_media_netpbm),
         "op8_iblt_fingerprints": over("documents", iblt.op8_iblt_fingerprints),
         "op9_substring_recompression": over("documents", recompress.op9_substring_recompression),
         "op10_line_chunks": over("documents", linededup.op10_line_chunks),
@@ -76,6 +78,7 @@ FROM placed GROUP BY rid, doc_id
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_warc_content_addressed": warc.OP3_SQL,
+        "op6_chat_columnar": chat.OP6_SQL,
         "op9_substring_recompression": OP9_SQL,
         "op10_line_chunks": OP10_SQL,
     }
