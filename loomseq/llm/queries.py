@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, iblt, linededup, media, mixing, recompress, simhash, warc
+from . import bpe, chat, iblt, langid, linededup, media, mixing, recompress, simhash, warc
 from .common import table
 
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     return {
         "op1_mix_knapsack": over("documents", mixing.op1_mix_knapsack),
+        "op2_crf_language": over("documents", langid.op2_crf_language),
         "op3_warc_content_addressed": over("pages", warc.op3_warc_content_addressed),
         "op4_simhash_golay": over("documents", simhash.op4_simhash_golay),
         "op5_byte_bpe": over("documents", bpe.op5_byte_bpe),
