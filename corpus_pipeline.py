@@ -1,11 +1,61 @@
-"""A training corpus in stages, each of which applies one operator of loomseq.llm."""
+"""A training corpus in stages, each of which applies one operator of loomseq.llm.
+
+Language ID, line dedup, near-duplicates, source mixing, tokens. Each stage
+takes (spark, docs, sf_dir), works on every row that its predecessor kept and
+returns the columns of documents, the last one its tokens' digests. Every
+stage's rows are written as Parquet and read again by the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from loomseq.llm import bpe, langid, linededup, mixing, simhash
+from loomseq.llm.common import n_words, shared_path, table
+
+#: A document whose language is less sure than this goes, and so do those without letters.
+LEAST_SCORE = 0.5
+#: Words of a shingle in the near-duplicate stage.
+SHINGLE = 5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents of no language: no letters, or no language with half of the posterior."""
+    training = docs.where(~langid.held_out(F.col("doc_id"))).select("text", "lang")
+    row = docs.select(F.struct("*").alias("row"), "text")
+    found = langid.identify(row, training)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes out repeated chunks of lines; a document of which nothing is left goes."""
+    left = linededup.remove_repeated_lines(docs)
+    left = left.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return left.select(*[chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each near-duplicate class.
+
+    Rows without an id get a large one from their text, so that rows with an
+    id stay before them; of rows with one id the first by text stays.
+    """
+    hashed = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", hashed).alias("doc_id"), "text")
+    found = simhash.components(rows, width=SHINGLE)
+    stay = found.where("doc_id = component_id").select("doc_id").distinct()
+    nth = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
+    return rows.join(stay, "doc_id", "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*")
+
 
-from loomseq.llm import bpe
-from loomseq.llm.common import shared_path, table
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draws documents to the sources' target weights; one taken twice is two rows."""
+    rows = docs.select("doc_id", "source", F.struct("*").alias("row"), n_words(F.col("text")).alias("size"))
+    drawn = mixing.mix(rows).where("copies > 0")
+    return drawn.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +63,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.op5_byte_bpe(docs)
 
 
-STAGES = [("encode", encode)]
+STAGES = [("language", language), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix", mix), ("encode", encode)]
 
 #: Fitted models and hash decisions have no SQL form; tests use brute force.
 ORACLE_SQL = None
