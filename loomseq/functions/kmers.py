@@ -39,7 +39,8 @@ def minhash_sketch(seq, k: int, num_hashes: int, method: str = "xxhash64") -> Co
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 0 if both are empty."""
-    return ratio(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
+    both = F.struct(a.alias("a"), b.alias("b"))
+    return let(both, lambda x: ratio(F.size(F.array_intersect(x["a"], x["b"])), F.size(F.array_union(x["a"], x["b"]))))
 
 
 def jaccard_similarity(a, b, k: int) -> Column:
@@ -48,7 +49,8 @@ def jaccard_similarity(a, b, k: int) -> Column:
 
 def containment_index(a, b, k: int) -> Column:
     x, y = kmers(a, k), kmers(b, k)
-    return ratio(F.size(F.array_intersect(x, y)), F.size(F.array_distinct(x)))
+    both = F.struct(x.alias("a"), y.alias("b"))
+    return let(both, lambda z: ratio(F.size(F.array_intersect(z["a"], z["b"])), F.size(F.array_distinct(z["a"]))))
 
 
 def mash_from_jaccard(j: Column, k: int, formula: str = "plain") -> Column:
@@ -59,13 +61,17 @@ def mash_from_jaccard(j: Column, k: int, formula: str = "plain") -> Column:
 
 
 def mash_distance(a, b, k: int, size: int, method: str = "xxhash64", formula: str = "plain") -> Column:
-    return mash_from_jaccard(jaccard(minhash_sketch(a, k, size, method), minhash_sketch(b, k, size, method)), k, formula)
+    j = jaccard(minhash_sketch(a, k, size, method), minhash_sketch(b, k, size, method))
+    return let(j, lambda x: mash_from_jaccard(x, k, formula))
 
 
 def ani_approximate(a, b, k: int, size: int, method: str = "xxhash64") -> Column:
-    j = jaccard(minhash_sketch(a, k, size, method), minhash_sketch(b, k, size, method))
-    safe = F.when(j > 0, 2 * j / (1 + j)).otherwise(F.lit(1.0))
-    return F.when(j > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 + F.log(safe) / k))).otherwise(F.lit(0.0))
+
+    def ani(j: Column) -> Column:
+        safe = F.when(j > 0, 2 * j / (1 + j)).otherwise(F.lit(1.0))
+        return F.when(j > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 + F.log(safe) / k))).otherwise(F.lit(0.0))
+
+    return let(jaccard(minhash_sketch(a, k, size, method), minhash_sketch(b, k, size, method)), ani)
 
 
 def genome_sketch(seq, k: int, size: int, method: str = "xxhash64") -> Column:
@@ -74,8 +80,7 @@ def genome_sketch(seq, k: int, size: int, method: str = "xxhash64") -> Column:
 
 def contamination_screen(seq, host: Column, k: int, size: int, method: str = "xxhash64") -> Column:
     """The part of a sketch that is among the host's hashes."""
-    own = minhash_sketch(seq, k, size, method)
-    return ratio(F.size(F.array_intersect(own, host)), F.size(own))
+    return let(minhash_sketch(seq, k, size, method), lambda own: ratio(F.size(F.array_intersect(own, host)), F.size(own)))
 
 
 def syncmers(seq, k: int, s: int) -> Column:
