@@ -21,8 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens kept with their ids, in each Python worker; the longest kept.
-KEPT, KEPT_LENGTH = 400_000, 64
+#: Pre-tokens of a generation kept with their ids, in each Python worker; the longest kept.
+KEPT, KEPT_LENGTH = 700_000, 64
 
 
 def merge_ranks(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -91,16 +91,19 @@ def merge_ranks(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Kept(dict):
-    """Ids by pre-token; computed when missing, dropped when there are too many."""
+    """Ids by pre-token, in two generations: a full one becomes the old one, and the old one goes."""
 
     def __init__(self, ranks):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.old = ranks, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(merge_ranks(piece.encode(), self.ranks))
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = tuple(merge_ranks(piece.encode(), self.ranks))
         if len(piece) <= KEPT_LENGTH:
             if len(self) >= KEPT:
+                self.old = self.copy()
                 self.clear()
             self[piece] = ids
         return ids
