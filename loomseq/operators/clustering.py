@@ -26,8 +26,8 @@ def umi_collapse(df: DataFrame, by: list[str], max_distance: int) -> DataFrame:
         joined = F.transform(groups, lambda g, i: F.when(i + 1 == hit, F.struct(g["representative"].alias("representative"), F.concat(g["members"], x["idxs"]).alias("members"))).otherwise(g))
         return F.when(hit > 0, joined).otherwise(F.concat(groups, F.array(new))).cast(f"array<{group}>")
 
-    rows = lists.select(*by, F.explode(F.aggregate("xs", start, step)).alias("g"))
-    return rows.select(*by, F.col("g.representative").alias("representative"), F.sort_array("g.members").alias("members"))
+    rows = lists.select(*by, F.explode(F.aggregate("xs", start, step)).alias("found_"))
+    return rows.select(*by, F.col("found_.representative").alias("representative"), F.sort_array("found_.members").alias("members"))
 
 
 def umi_dedup(df: DataFrame, by: list[str], max_edit_distance: int) -> DataFrame:
@@ -57,5 +57,5 @@ def greedy_cluster(df: DataFrame, by: list[str], threshold: float, k: int) -> Da
 
         return F.when(hit > 0, F.transform(groups, grown)).otherwise(F.concat(groups, F.array(new))).cast(f"array<{kind}>")
 
-    rows = lists.select(*by, F.explode(F.aggregate("xs", start, step)).alias("g"))
-    return rows.select(*by, F.col("g.representative").alias("representative"), F.col("g.members").alias("members"))
+    rows = lists.select(*by, F.explode(F.aggregate("xs", start, step)).alias("found_"))
+    return rows.select(*by, F.col("found_.representative").alias("representative"), F.col("found_.members").alias("members"))
