@@ -31,10 +31,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out repeated chunks of lines; a document of which nothing is left goes."""
-    left = linededup.remove_repeated_lines(docs)
-    left = left.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
-    chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return left.select(*[chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    left = linededup.remove_repeated_lines(rows).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    changed = lambda c: F.when(F.col("n_removed") > 0, new[c]).otherwise(F.col(f"row.`{c}`")).alias(c)
+    return left.select(*[changed(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

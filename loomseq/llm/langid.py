@@ -253,8 +253,10 @@ def identify(docs: DataFrame, training: DataFrame, rows: int = SAMPLE) -> DataFr
     """docs with lang_pred and score added, by a field trained on a sample of training (text, lang).
 
     Null texts and texts without letters are ``und`` with score 0. With no
-    labelled row everything is ``und``. Repeated rows and other columns stay.
+    labelled row everything is ``und``. Repeated rows and other columns stay,
+    but columns named lang_pred or score are replaced.
     """
+    docs = docs.drop("lang_pred", "score")
     sample = labelled_sample(training, rows)
     labels = sorted({lang for _, lang in sample})
     weights, moves = train(sample, labels)

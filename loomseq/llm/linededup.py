@@ -1,8 +1,9 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
 A rolling hash over the hashes of the last ROLL lines ends a chunk where it is
-0 modulo EVERY, so chunk ends move with the text when lines are put in or
-taken out before them. Chunks that occur more than once anywhere are found by
+0 modulo EVERY and was not so a line before, so chunk ends move with the text
+when lines are put in or taken out before them, and chunks have two lines at
+least (a text's last line belongs to the chunk before it). Chunks that occur more than once anywhere are found by
 a 128-bit digest, and compared byte by byte with their first occurrence; all
 other occurrences go. Only digests of all chunks and texts of repeated chunks
 are shuffled by digest; the counts are merged before the shuffle, and the
@@ -14,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lines under the rolling hash, and the mean number of lines in a chunk.
-ROLL, EVERY = 3, 4
+#: Lines under the rolling hash, and one in how many ends a chunk.
+ROLL, EVERY = 3, 3
 BASE, PRIME = 257, 1_000_003
 
 
@@ -35,9 +36,12 @@ def _chunks(text: Column) -> Column:
         ls, hs = pair["ls"], pair["hs"]
         n = F.size(ls)
 
-        def ends(i: Column) -> Column:
+        def marked(i: Column) -> Column:
             rolled = (F.element_at(hs, i - 2) * (BASE * BASE) + F.element_at(hs, i - 1) * BASE + F.element_at(hs, i)) % PRIME
-            return (i == n) | F.when(i >= ROLL, rolled % EVERY == 0).otherwise(False)
+            return F.when(i >= ROLL, rolled % EVERY == 0).otherwise(False)
+
+        def ends(i: Column) -> Column:
+            return (i == n) | ((i < n - 1) & marked(i) & ~marked(i - 1))
 
         return F.struct(ls.alias("ls"), F.filter(F.sequence(F.lit(1), n), ends).alias("es"))
 
@@ -82,19 +86,21 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with text replaced by what is kept, and n_lines, n_removed (longs) added.
 
     Null texts become empty; a document whose chunks all go gets an empty
-    text. Repeated rows and other columns stay as they are. n_lines counts
-    the text's lines before, n_removed those removed.
+    text. Repeated rows and other columns stay as they are, but columns named
+    n_lines or n_removed are replaced. n_lines counts the text's lines before,
+    n_removed those removed.
     """
-    gone = repeated_chunks(docs).withColumnRenamed("doc_id", "gone_id")
-    rows = docs.join(gone, docs.doc_id.eqNullSafe(gone.gone_id), "left").drop("gone_id")
-    chunks = F.transform(_chunks(F.col("text")), lambda c, i: F.struct(c["lines"].alias("lines"), F.coalesce(F.array_contains("gone", i + 1), F.lit(False)).alias("gone")))
-    rows = rows.withColumn("chunks_", chunks)
+    docs = docs.drop("n_lines", "n_removed")
+    gone = repeated_chunks(docs).select(F.col("doc_id").alias("dedup_id"), F.col("gone").alias("dedup_gone"))
+    rows = docs.join(gone, docs.doc_id.eqNullSafe(gone.dedup_id), "left")
+    chunks = F.transform(_chunks(F.col("text").cast("string")), lambda c, i: F.struct(c["lines"].alias("lines"), F.coalesce(F.array_contains("dedup_gone", i + 1), F.lit(False)).alias("gone")))
+    rows = rows.withColumn("dedup_chunks", chunks)
     total = lambda cs: F.aggregate(cs, F.lit(0).cast("long"), lambda n, c: n + F.size(c["lines"]))
-    kept = F.array_join(F.flatten(F.transform(F.filter("chunks_", lambda c: ~c["gone"]), lambda c: c["lines"])), "\n")
+    kept = F.array_join(F.flatten(F.transform(F.filter("dedup_chunks", lambda c: ~c["gone"]), lambda c: c["lines"])), "\n")
     return rows.select(
         *[kept.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        total(F.col("chunks_")).alias("n_lines"),
-        total(F.filter("chunks_", lambda c: c["gone"])).alias("n_removed"),
+        total(F.col("dedup_chunks")).alias("n_lines"),
+        total(F.filter("dedup_chunks", lambda c: c["gone"])).alias("n_removed"),
     )
 
 

@@ -117,8 +117,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float =
     copies is how often the mix takes the row: the passes over its source,
     and once more if drawn. A row of size 0 takes nothing from the budget and
     is copied by the passes only. Rows equal in doc_id, source and size are
-    drawn as rows of their own. Reruns draw the same rows.
+    drawn as rows of their own. Reruns draw the same rows. Columns named like
+    the new ones are replaced.
     """
+    docs = docs.drop("source_size", "target", "copies")
     slim = docs.select("source", "size")
     targets = settled(source_targets(slim, weights, budget, cap))
     rows = docs.withColumns({"mix_key": _key(F.col("source")), "mix_hash": F.xxhash64(F.lit(seed), "doc_id")})
@@ -129,10 +131,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float =
     plan = counts.groupBy("mix_key").applyInArrow(lambda key, rows: _plan(key, rows), "mix_key string, mix_size long, passes long, more long")
     before = W.partitionBy("mix_key", "mix_size").orderBy("mix_cell").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(plan, ["mix_key", "mix_size"])
-    cells = cells.select("mix_key", "mix_size", "mix_cell", "passes", (F.col("more") - F.col("before")).alias("quota")).join(targets, "mix_key")
+    cells = cells.select("mix_key", "mix_size", "mix_cell", F.col("passes").alias("mix_passes"), (F.col("more") - F.col("before")).alias("mix_quota")).join(targets, "mix_key")
     inside = W.partitionBy("mix_key", "mix_size", "mix_cell").orderBy("mix_hash", "doc_id")
     rows = rows.withColumn("mix_nth", F.row_number().over(inside)).join(cells, ["mix_key", "mix_size", "mix_cell"])
-    copies = F.col("passes") + F.when(F.col("mix_nth") <= F.col("quota"), 1).otherwise(0)
+    copies = F.col("mix_passes") + F.when(F.col("mix_nth") <= F.col("mix_quota"), 1).otherwise(0)
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "source_size", "target", copies.cast("long").alias("copies"))
 
 
