@@ -17,8 +17,8 @@ from loomseq.llm.common import n_words, shared_path, table
 
 #: A document whose language is less sure than this goes, and so do those without letters.
 LEAST_SCORE = 0.5
-#: Words of a shingle in the near-duplicate stage.
-SHINGLE = 5
+#: Words of a shingle in the near-duplicate stage, and the least similarity of duplicates.
+SHINGLE, SIMILAR = 5, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     hashed = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)
     rows = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", hashed).alias("doc_id"), "text")
-    found = simhash.components(rows, width=SHINGLE)
+    found = simhash.similar_components(rows, SHINGLE, SIMILAR)
     stay = found.where("doc_id = component_id").select("doc_id").distinct()
     nth = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
     return rows.join(stay, "doc_id", "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*")

@@ -121,6 +121,27 @@ def test_simhash_query(spark):
     assert simhash.op4_simhash_golay(frame(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_similar_components(spark):
+    r = random.Random(20)
+    shingles = lambda ws: {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))}
+    texts, want = [], []
+    for i in range(60):
+        ws = [f"w{r.randrange(900)}" for _ in range(r.randrange(60, 300))]
+        near = list(ws)
+        for _ in range(1 + i % 4):
+            near[r.randrange(len(ws))] = f"new{r.random()}"
+        a, b = shingles(ws), shingles(near)
+        want.append(len(a & b) / len(a | b))
+        texts += [" ".join(ws), "  ".join(near)]
+    texts += [texts[0], texts[0].replace(" ", "\n"), " ".join(sorted(texts[2].split()))]
+    got = {x.doc_id: x.component_id for x in simhash.similar_components(frame(spark, texts)).collect()}
+    hits = [got[2 * i] == got[2 * i + 1] for i in range(60)]
+    assert sum(h for h, j in zip(hits, want) if j >= 0.84) >= 0.9 * sum(j >= 0.84 for j in want)
+    assert not any(h for h, j in zip(hits, want) if j < 0.7)
+    assert got[120] == got[121] == got[0] == 0
+    assert got[122] == 122  # the same words in another order
+
+
 # byte-level BPE
 
 
