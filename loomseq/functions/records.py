@@ -29,6 +29,24 @@ def phred(qual) -> Column:
     return F.transform(F.filter(F.split(col(qual), ""), lambda c: c != ""), lambda c: F.ascii(c) - 33)
 
 
+def quality_sum(qual) -> Column:
+    """The sum of a quality string's Phred scores, as a long."""
+    q = col(qual)
+    return F.aggregate(F.split(q, ""), F.lit(0).cast("long"), lambda a, c: a + F.ascii(c)) - 33 * F.octet_length(q)
+
+
+def quality_at_least(qual, score: int) -> Column:
+    """How many of a quality string's scores are so high."""
+    low = "".join(chr(33 + s) for s in range(score))
+    return F.octet_length(F.translate(col(qual), low, ""))
+
+
+def mean_quality_of(qual) -> Column:
+    """The mean Phred score of a quality string, NaN for an empty one."""
+    n = F.octet_length(col(qual))
+    return F.when(n == 0, F.lit(float("nan"))).otherwise(quality_sum(qual).cast("double") / F.greatest(n, F.lit(1)))
+
+
 def mean_quality(scores: Column) -> Column:
     """NaN for no scores."""
     n = F.size(scores)

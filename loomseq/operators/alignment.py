@@ -12,20 +12,34 @@ from ..functions.alignment import hamming_distance
 
 ALIGNED = "a string, b string, score int"
 OUT_OF_BAND = -(1 << 30)
+#: Cells of score matrices held at once, unless one pair has more.
+CELLS = 1 << 21
 
 
-def _filled(a: str, b: str, match: int, mismatch: int, gap: int, local: bool) -> np.ndarray:
-    """The score matrix; its rows are computed by anti-diagonals, each of them one array operation."""
-    n, m = len(a), len(b)
-    x, y = np.frombuffer(a.encode("utf-32-le"), np.uint32), np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    h = np.zeros((n + 1, m + 1), np.int64)
+def _codes(texts: list[str], size: int, fill: int) -> np.ndarray:
+    out = np.full((len(texts), size), fill, np.int64)
+    for row, t in zip(out, texts):
+        row[: len(t)] = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    return out
+
+
+def _filled(pairs: list[tuple[str, str]], match: int, mismatch: int, gap: int, local: bool) -> np.ndarray:
+    """Score matrices of all pairs, padded to one shape; each anti-diagonal of all is one array operation.
+
+    A pair's own matrix is the corner of its lengths, which padding after it
+    doesn't touch.
+    """
+    n, m = max(len(a) for a, _ in pairs), max(len(b) for _, b in pairs)
+    x, y = _codes([a for a, _ in pairs], n, -1), _codes([b for _, b in pairs], m, -2)
+    h = np.zeros((len(pairs), n + 1, m + 1), np.int32)
     if not local:
-        h[:, 0], h[0] = np.arange(n + 1) * gap, np.arange(m + 1) * gap
+        h[:, :, 0], h[:, 0] = np.arange(n + 1) * gap, np.arange(m + 1) * gap
     for d in range(2, n + m + 1):
         i = np.arange(max(1, d - m), min(n, d - 1) + 1)
         j = d - i
-        best = np.maximum(h[i - 1, j - 1] + np.where(x[i - 1] == y[j - 1], match, mismatch), np.maximum(h[i - 1, j], h[i, j - 1]) + gap)
-        h[i, j] = np.maximum(best, 0) if local else best
+        step = np.where(x[:, i - 1] == y[:, j - 1], match, mismatch)
+        best = np.maximum(h[:, i - 1, j - 1] + step, np.maximum(h[:, i - 1, j], h[:, i, j - 1]) + gap)
+        h[:, i, j] = np.maximum(best, 0) if local else best
     return h
 
 
@@ -48,17 +62,36 @@ def _walk(a: str, b: str, h: np.ndarray, i: int, j: int, match: int, mismatch: i
     return "".join(reversed(left)), "".join(reversed(right))
 
 
+def aligned(pairs: list, match: int, mismatch: int, gap: int, local: bool) -> list[tuple]:
+    """(a, b, score) of each pair, nulls for a pair with a null; pairs of like size are filled together."""
+    out = [(None, None, None)] * len(pairs)
+    order = sorted((k for k, (a, b) in enumerate(pairs) if a is not None and b is not None), key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
+    at = 0
+    while at < len(order):
+        to, n, m = at, 0, 0
+        while to < len(order):
+            a, b = pairs[order[to]]
+            n, m = max(n, len(a)), max(m, len(b))
+            if to > at and (to + 1 - at) * (n + 1) * (m + 1) > CELLS:
+                break
+            to += 1
+        some = [pairs[k] for k in order[at:to]]
+        matrices = _filled(some, match, mismatch, gap, local)
+        for k, (a, b), whole in zip(order[at:to], some, matrices):
+            h = whole[: len(a) + 1, : len(b) + 1]
+            i, j = np.unravel_index(int(h.argmax()), h.shape) if local else (len(a), len(b))
+            score = int(h[i, j])
+            out[k] = ("", "", 0) if local and score <= 0 else (*_walk(a, b, h, int(i), int(j), match, mismatch, gap, local), score)
+        at = to
+    return out
+
+
 def align_global(a: str, b: str, match: int, mismatch: int, gap: int) -> tuple[str, str, int]:
-    h = _filled(a, b, match, mismatch, gap, False)
-    return *_walk(a, b, h, len(a), len(b), match, mismatch, gap, False), int(h[-1, -1])
+    return aligned([(a, b)], match, mismatch, gap, False)[0]
 
 
 def align_local(a: str, b: str, match: int, mismatch: int, gap: int) -> tuple[str, str, int]:
-    h = _filled(a, b, match, mismatch, gap, True)
-    i, j = np.unravel_index(int(h.argmax()), h.shape)
-    if h[i, j] <= 0:
-        return "", "", 0
-    return *_walk(a, b, h, int(i), int(j), match, mismatch, gap, True), int(h[i, j])
+    return aligned([(a, b)], match, mismatch, gap, True)[0]
 
 
 def score_banded(a: str, b: str, band: int, match: int, mismatch: int, gap: int) -> int:
@@ -79,10 +112,10 @@ def score_banded(a: str, b: str, band: int, match: int, mismatch: int, gap: int)
     return row[m]
 
 
-def _aligner(f, match: int, mismatch: int, gap: int):
+def _aligner(local: bool, match: int, mismatch: int, gap: int):
     @pandas_udf(ALIGNED)
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        rows = [(None, None, None) if x is None or y is None else f(x, y, match, mismatch, gap) for x, y in zip(a, b)]
+        rows = aligned(list(zip(a, b)), match, mismatch, gap, local)
         return pd.DataFrame(rows, columns=["a", "b", "score"]).astype({"score": "Int32"})
 
     return run
@@ -90,12 +123,12 @@ def _aligner(f, match: int, mismatch: int, gap: int):
 
 def needleman_wunsch(a, b, match: int = 1, mismatch: int = -1, gap: int = -1) -> Column:
     """struct(a, b, score) of the global alignment with linear gaps."""
-    return _aligner(align_global, match, mismatch, gap)(a, b)
+    return _aligner(False, match, mismatch, gap)(a, b)
 
 
 def smith_waterman(a, b, match: int = 1, mismatch: int = -1, gap: int = -1) -> Column:
     """struct(a, b, score) of the local alignment that ends first in row-major order; empty without a positive score."""
-    return _aligner(align_local, match, mismatch, gap)(a, b)
+    return _aligner(True, match, mismatch, gap)(a, b)
 
 
 def banded_alignment(a, b, bandwidth: int, match: int = 1, mismatch: int = -1, gap: int = -1) -> Column:

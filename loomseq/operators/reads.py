@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.records import has_flag, mean_quality, phred
+from ..functions.records import has_flag, mean_quality, mean_quality_of, phred, quality_at_least, quality_sum
 from ..functions.sequence import gc_content
 from .statistics import upper_median
 
@@ -20,19 +20,24 @@ def _part(a, b):
 
 def fastq_stats(reads: DataFrame) -> DataFrame:
     """One row of twelve sums and rates; rates are over bases of sequences."""
-    q = phred("qual")
     up = F.upper("seq")
-    rows = reads.select(F.octet_length("seq").cast("long").alias("n"), q.alias("q"), (F.octet_length(up) - F.octet_length(F.translate(up, "GC", ""))).alias("gc"), (F.octet_length(up) - F.octet_length(F.translate(up, "N", ""))).alias("ns"))
-    at_least = lambda t: F.size(F.filter("q", lambda x: x >= t))
+    rows = reads.select(
+        F.octet_length("seq").cast("long").alias("n"),
+        quality_sum("qual").alias("qs"),
+        quality_at_least("qual", 20).alias("q20"),
+        quality_at_least("qual", 30).alias("q30"),
+        (F.octet_length(up) - F.octet_length(F.translate(up, "GC", ""))).alias("gc"),
+        (F.octet_length(up) - F.octet_length(F.translate(up, "N", ""))).alias("ns"),
+    )
     s = rows.agg(
         F.count("*").alias("total_reads"),
         _zero(F.sum("n")).alias("total_bases"),
         F.coalesce(F.avg("n"), F.lit(0.0)).alias("avg_length"),
         _zero(F.min("n")).alias("min_length"),
         _zero(F.max("n")).alias("max_length"),
-        _zero(F.sum(F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x))).alias("qs"),
-        _zero(F.sum(at_least(20))).alias("q20_bases"),
-        _zero(F.sum(at_least(30))).alias("q30_bases"),
+        _zero(F.sum("qs")).alias("qs"),
+        _zero(F.sum("q20")).alias("q20_bases"),
+        _zero(F.sum("q30")).alias("q30_bases"),
         _zero(F.sum("gc")).alias("gc"),
         _zero(F.sum("ns")).alias("n_bases"),
     )
@@ -45,7 +50,7 @@ def fastq_stats(reads: DataFrame) -> DataFrame:
 
 def fastq_filter(reads: DataFrame, min_len: int, min_qual: float) -> DataFrame:
     """Reads that long with that mean quality; one without qualities has NaN, which passes."""
-    return reads.where((F.octet_length("seq") >= min_len) & (mean_quality(phred("qual")) >= min_qual))
+    return reads.where((F.octet_length("seq") >= min_len) & (mean_quality_of("qual") >= min_qual))
 
 
 def per_base_quality(reads: DataFrame) -> DataFrame:
