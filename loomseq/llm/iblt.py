@@ -129,9 +129,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     parts = rows.where("nth = 1").select("part", F.col("text").alias("first"))
     around = W.orderBy("part")
     ends = docs.select("doc_id").select(F.when(F.col("doc_id").isNull(), F.lit((high - low) // width + 1)).otherwise(F.floor((F.col("doc_id") - low) / width)).cast("long").alias("part")).distinct()
-    ends = ends.withColumn("before", F.lag("part").over(around))
-    last = ends.agg(F.max("part").alias("last"))
-    ends = ends.crossJoin(F.broadcast(last)).select("part", F.coalesce("before", "last").alias("before"))
+    last = F.max("part").over(around.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    ends = ends.withColumn("before", F.coalesce(F.lag("part").over(around), last))
     edge = parts.join(ends, "part").select(F.col("before").alias("part"), "first")
     return rows.join(edge, "part", "left").select("doc_id", "text", F.coalesce("next", "first").alias("next_text"))
 
