@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import settled
+
 #: Lines under the rolling hash, and one in how many ends a chunk.
 ROLL, EVERY = 3, 3
 BASE, PRIME = 257, 1_000_003
@@ -72,6 +74,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     digests = every.select("doc_id", F.col("j") + 1, *_digests(F.array_join("chunk.lines", "\n"))).toDF("doc_id", "j", "h1", "h2")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "j")
     again = digests.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = settled(again)  # so that Spark can split the join on a chunk that many documents have
     asked = digests.join(again, ["h1", "h2"]).select("doc_id", F.struct("j", "h1", "h2", (place == F.col("first")).alias("stays")).alias("at"))
     asked = asked.groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
     rows = texts.join(asked, texts.doc_id.eqNullSafe(asked.doc_id)).select(texts.doc_id, _chunks(F.col("text")).alias("chunks"), "ats")
