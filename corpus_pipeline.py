@@ -24,18 +24,20 @@ SHINGLE, SIMILAR = 5, 0.8
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of no language: no letters, or no language with half of the posterior."""
     training = docs.where(~langid.held_out(F.col("doc_id"))).select("text", "lang")
-    row = docs.select(F.struct("*").alias("row"), "text")
-    found = langid.identify(row, training)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    aside = {c: f"own_{c}" for c in docs.columns if c in ("lang_pred", "score")}  # names that the operator puts
+    found = langid.identify(docs.withColumnsRenamed(aside), training)
+    found = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return found.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out repeated chunks of lines; a document of which nothing is left goes."""
-    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("row"))
     left = linededup.remove_repeated_lines(rows).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
-    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    changed = lambda c: F.when(F.col("n_removed") > 0, new[c]).otherwise(F.col(f"row.`{c}`")).alias(c)
-    return left.select(*[changed(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
+    own = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(own["n_chars"])
+    return left.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +47,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     id stay before them; of rows with one id the first by text stays.
     """
     hashed = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", hashed).alias("doc_id"), "text")
-    found = simhash.similar_components(rows, SHINGLE, SIMILAR)
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", hashed).alias("doc_id"))
+    found = simhash.similar_components(rows.select("doc_id", F.col("row.text").alias("text")), SHINGLE, SIMILAR)
     stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
+    nth = F.row_number().over(W.partitionBy("doc_id").orderBy("row.text"))
     return rows.join(stay, "doc_id", "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*")
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import cache, partial
+from functools import partial
 from heapq import heappop, heappush
 from itertools import chain
 
@@ -21,8 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
+
 #: Pre-tokens of a generation kept with their ids, in each Python worker; the longest kept.
-KEPT, KEPT_LENGTH = 700_000, 64
+KEPT, KEPT_LENGTH = 500_000, 64
 
 
 def merge_ranks(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -131,9 +133,8 @@ class Tokenizer:
         return b"".join(map(get, ids))
 
 
-@cache
 def tokenizer(path: str, pattern: str) -> Tokenizer:
-    return Tokenizer(path, pattern)
+    return held((path, pattern), lambda: Tokenizer(path, pattern))
 
 
 def _encoded(batches, path: str, pattern: str):

@@ -64,3 +64,18 @@ def byte_rows(column) -> list:
     import pyarrow as pa
 
     return column.cast(pa.binary()).to_pylist()
+
+
+_held: dict = {}
+
+
+def held(name, make):
+    """make(), kept in this Python worker under name; what another name had kept is dropped.
+
+    Workers live on from stage to stage, and only one operator's models or
+    caches should stay in their memory.
+    """
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]

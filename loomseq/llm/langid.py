@@ -1,7 +1,7 @@
 """Language identification by a linear-chain conditional random field.
 
-Each word of a text gets a label. Its features are its affixes, its character
-n-grams and a lexicon entry, each hashed to a row of weights per label, and
+Each word of a text gets a label. Its features are its affixes, its byte
+trigrams and a lexicon entry, each hashed to a row of weights per label, and
 transitions between labels are learned too. A text's posteriors come from
 forward-backward over all its words; the text's language has the largest mean
 posterior over words with letters, which is the score.
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import pickle
 import re
-from functools import lru_cache
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -25,65 +25,95 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held, mix64
+
 #: The bound of the labelled sample: rows per label, characters per row.
 SAMPLE, SLICE = 400, 1500
 #: Hashed weight rows, the words of a training sequence, and of one piece in it.
 ROWS, LENGTH, PIECE = 1 << 16, 48, 12
 STEPS, RATE, DECAY = 60, 0.35, 1e-4
 SEED = 42
-#: Words kept with their scores in each Python worker.
-WORDS_KEPT = 200_000
+#: Words kept with their scores in each Python worker; characters of texts worked on at once.
+WORDS_KEPT, CHARS_AT_ONCE = 500_000, 1_500_000
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
+AROUND = ".,;:!?\"'()[]|"
+
 
+def _rows_of(code: np.ndarray, kind: int) -> np.ndarray:
+    """Weight rows of feature codes; kinds of features with equal codes get other rows. Row 0 is for words without letters."""
+    return 1 + (mix64(code + np.uint64(kind << 56)) % np.uint64(ROWS - 1)).astype(np.int64)
 
-def word_features(word: str) -> list[int]:
-    """Rows of a word's features: affixes, n-grams, the lexicon entry and its shape."""
-    w = word.lower().strip(".,;:!?\"'()[]|")
-    if not LETTER.search(w):
-        return [0]
-    found = [f"l:{w}"]
-    for n in (1, 2, 3, 4):
-        if len(w) >= n:
-            found += [f"p:{w[:n]}", f"s:{w[-n:]}"]
-    full = f"<{w[:40]}>"
-    for n in (2, 3):
-        found += [full[i : i + n] for i in range(len(full) - n + 1)]
-    digest = xxhash.xxh32_intdigest
-    return [1 + digest(f) % (ROWS - 1) for f in found]
 
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, of, letters): weight rows with the number of their word, and which words have letters.
 
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis=axis)) + np.squeeze(top, axis)
+    A word, in lower case without punctuation around it, has its lexicon
+    entry, affixes of one to four bytes, and all its byte trigrams with marks
+    for its ends; it is cut up in numpy, many words at once.
+    """
+    clean = [w.lower().strip(AROUND) for w in words]
+    letters = np.fromiter((LETTER.search(w) is not None for w in clean), bool, len(clean))
+    at = np.flatnonzero(letters)
+    coded = [clean[i].encode() for i in at.tolist()]
+    text = np.frombuffer(b"".join([b"<%b>" % c for c in coded]) + b"   ", np.uint8).astype(np.uint64)
+    size = np.fromiter(map(len, coded), np.int64, len(coded))
+    end = np.cumsum(size + 2)
+    start = end - size - 2
+    u = np.uint64
+    entry = np.fromiter(map(xxhash.xxh32_intdigest, coded), u, len(coded))
+    rows, of = [np.zeros(len(clean) - len(at), np.int64), _rows_of(entry, 1)], [np.flatnonzero(~letters), at]
+    head, tail = np.zeros(len(at), u), np.zeros(len(at), u)
+    for n in range(1, 5):
+        some = np.flatnonzero(size >= n)
+        head[some] = head[some] << u(8) | text[start[some] + n]
+        tail[some] = tail[some] << u(8) | text[end[some] - 1 - n]
+        rows += [_rows_of(head[some], 1 + n), _rows_of(tail[some], 5 + n)]
+        of += [at[some], at[some]]
+    word = np.repeat(np.arange(len(at)), size)
+    place = start[word] + np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+    rows.append(_rows_of(text[place] << u(16) | text[place + 1] << u(8) | text[place + 2], 10))
+    of.append(at[word])
+    return np.concatenate(rows), np.concatenate(of), letters
+
+
+def word_scores(weights: np.ndarray, rows: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(of, weights[rows, y], n) for y in range(weights.shape[1])], axis=1)
 
 
 def posteriors(scores: np.ndarray, steps: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Forward-backward over sequences laid end to end, in probabilities scaled at each word.
 
     scores: (words, labels) log potentials; steps: (labels, labels) log
-    transitions; sequences are handled side by side, longest first, so a step
-    in time is a few array operations over those that still run.
+    transitions. Words are laid out by time, longest sequence first, so a step
+    in time takes one slice: the sequences that still run.
     """
     n, k = scores.shape
+    if not n:
+        return np.zeros((0, k))
     order = np.argsort(-lengths, kind="stable")
-    starts, lengths = starts[order], lengths[order]
-    most = int(lengths[0]) if len(lengths) else 0
-    alive = np.searchsorted(-lengths, -np.arange(most), side="left")  # sequences longer than t
-    emit = np.exp(scores - scores.max(axis=1, keepdims=True))
+    alive = np.searchsorted(-lengths[order], -np.arange(int(lengths.max())), side="left")  # sequences longer than t
+    begin = np.cumsum(alive) - alive
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    time = np.arange(n) - np.repeat(starts, lengths)
+    place = begin[time] + np.repeat(rank, lengths)
+    emit = np.empty((n, k))
+    emit[place] = np.exp(scores - scores.max(axis=1, keepdims=True))
     move = np.exp(steps - steps.max())
-    ahead = np.empty((n, k))
-    for t in range(most):
-        at = starts[: alive[t]] + t
-        a = emit[at] if t == 0 else (ahead[at - 1] @ move) * emit[at]
-        ahead[at] = a / a.sum(axis=1, keepdims=True)
-    back = np.ones((n, k))
-    for t in range(most - 2, -1, -1):
-        at = starts[: alive[t + 1]] + t
-        b = (back[at + 1] * emit[at + 1]) @ move.T
-        back[at] = b / b.sum(axis=1, keepdims=True)
-    both = ahead * back
-    return both / both.sum(axis=1, keepdims=True)
+    ahead, back = np.empty((n, k)), np.ones((n, k))
+    bounds = list(zip(begin.tolist(), alive.tolist()))
+    was = None
+    for at, m in bounds:
+        a = emit[at : at + m] if was is None else (was[:m] @ move) * emit[at : at + m]
+        was = ahead[at : at + m] = a / a.sum(axis=1, keepdims=True)
+    move = move.T.copy()
+    for (at, _), (after, m) in zip(bounds[-2::-1], bounds[:0:-1]):
+        b = (back[after : after + m] * emit[after : after + m]) @ move
+        back[at : at + m] = b / b.sum(axis=1, keepdims=True)
+    ahead *= back
+    ahead /= ahead.sum(axis=1, keepdims=True)
+    return ahead[place]
 
 
 def train(texts: list[tuple[str, str]], labels: list[str], steps: int = STEPS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -115,10 +145,7 @@ def train(texts: list[tuple[str, str]], labels: list[str], steps: int = STEPS, s
     known: dict[str, int] = {}
     tokens = np.array([[known.setdefault(w, len(known)) for w in ws] for ws, _ in sequences])
     gold = np.array([g for _, g in sequences])
-    rows = [np.array(word_features(w)) for w in known]
-    sizes = np.array([len(r) for r in rows])
-    flat, of = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
-    first = np.cumsum(sizes) - sizes
+    rows, of, _ = features(list(known))
     starts, lengths = np.arange(total) * LENGTH, np.full(total, LENGTH)
     t, g = tokens.ravel(), gold.ravel()
     hit = np.zeros((len(t), k))
@@ -128,17 +155,15 @@ def train(texts: list[tuple[str, str]], labels: list[str], steps: int = STEPS, s
     inner = np.flatnonzero(np.arange(len(t)) % LENGTH != LENGTH - 1)
     seen_w, seen_m = np.full((ROWS, k), 1e-8), np.full((k, k), 1e-8)
     for _ in range(steps):
-        word_scores = np.add.reduceat(weights[flat], first, axis=0)
-        scores = word_scores[t]
+        scores = word_scores(weights, rows, of, len(known))[t]
         p = posteriors(scores, moves, starts, lengths)
         # expected transitions, from neighbouring posteriors through the local potentials
         emit = np.exp(scores - scores.max(axis=1, keepdims=True))
         ahead, back = _both(emit, np.exp(moves - moves.max()), total)
         joint = ahead[inner][:, :, None] * np.exp(moves - moves.max())[None] * (emit * back)[inner + 1][:, None, :]
         joint /= joint.sum(axis=(1, 2), keepdims=True)
-        slope_words = np.zeros((len(rows), k))
-        np.add.at(slope_words, t, hit - p)
-        slope = np.stack([np.bincount(flat, slope_words[of, y], ROWS) for y in range(k)], axis=1) / len(t) - DECAY * weights / len(t)
+        slope_words = np.stack([np.bincount(t, (hit - p)[:, y], len(known)) for y in range(k)], axis=1)
+        slope = np.stack([np.bincount(rows, slope_words[of, y], ROWS) for y in range(k)], axis=1) / len(t) - DECAY * weights / len(t)
         slope_m = (pairs - joint.sum(axis=0)) / len(t)
         seen_w += slope**2
         seen_m += slope_m**2
@@ -177,43 +202,55 @@ class Model:
             self.table, self.letters = self.table[:0], self.letters[:0]
         new = [w for w in dict.fromkeys(words) if w not in place]
         if new:
-            rows = [word_features(w) for w in new]
-            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-            flat = np.fromiter((i for r in rows for i in r), np.int64, int(sizes.sum()))
-            scores = np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0)
+            rows, of, letters = features(new)
             start = len(place)
             place.update(zip(new, range(start, start + len(new))))
-            self.table = np.concatenate([self.table, scores])
-            self.letters = np.concatenate([self.letters, flat[np.cumsum(sizes) - sizes] != 0])
+            self.table = np.concatenate([self.table, word_scores(self.weights, rows, of, len(new))])
+            self.letters = np.concatenate([self.letters, letters])
         return np.fromiter(map(place.__getitem__, words), np.int64, len(words))
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Posteriors of all words end to end, which have letters, and each text's number of words."""
         split = [t.split() for t in texts]
+        return *self._words(split), np.fromiter(map(len, split), np.int64, len(split))
+
+    def _words(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         counts = np.fromiter(map(len, split), np.int64, len(split))
         at = self.places([w for ws in split for w in ws])
         if not len(at) or not self.labels:
-            return np.zeros((0, len(self.labels))), np.zeros(0, bool), counts
+            return np.zeros((0, len(self.labels))), np.zeros(0, bool)
         some = np.flatnonzero(counts)
         starts = (np.cumsum(counts) - counts)[some]
-        return posteriors(self.table[at], self.moves, starts, counts[some]), self.letters[at], counts
+        return posteriors(self.table[at], self.moves, starts, counts[some]), self.letters[at]
 
     def languages(self, texts: list) -> tuple[list[str], np.ndarray]:
-        """Each text's language and score; null texts and those without letters are unknown, with score 0."""
-        p, letters, counts = self.words([t or "" for t in texts])
+        """Each text's language and score; null texts and those without letters are unknown, with score 0.
+
+        Texts of like length go through forward-backward together, so that a
+        long one doesn't make short ones wait.
+        """
+        order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: len(texts[i]))
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        if not len(p):
-            return names, scores
-        p = p * letters[:, None]
-        ends = np.cumsum(counts)
-        sums = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0)])
-        n = np.concatenate([[0], np.cumsum(letters)])
-        n = n[ends] - n[ends - counts]
-        mean = (sums[ends] - sums[ends - counts]) / np.maximum(n, 1)[:, None]
-        best = mean.argmax(axis=1)
-        for i in np.flatnonzero(n):
-            names[i] = self.labels[best[i]]
-            scores[i] = min(1.0, max(0.0, float(mean[i, best[i]])))
+        at = 0
+        while at < len(order):
+            to, total = at, 0
+            while to < len(order) and (to == at or total + len(texts[order[to]]) <= CHARS_AT_ONCE):
+                total += len(texts[order[to]])
+                to += 1
+            split = {i: ws for i in order[at:to] if (ws := texts[i].split())}
+            some = list(split)
+            at = to
+            p, letters = self._words(list(split.values()))
+            if not len(p):
+                continue
+            counts = np.array([len(split[i]) for i in some])
+            first = np.cumsum(counts) - counts
+            n = np.add.reduceat(letters.astype(np.int64), first)
+            mean = np.add.reduceat(p * letters[:, None], first, axis=0) / np.maximum(n, 1)[:, None]
+            best = mean.argmax(axis=1)
+            for i, y, m, v in zip(some, best.tolist(), n.tolist(), mean.max(axis=1).tolist()):
+                if m:
+                    names[i], scores[i] = self.labels[y], min(1.0, max(0.0, v))
         return names, scores
 
 
@@ -233,20 +270,23 @@ def labelled_sample(docs: DataFrame, rows: int = SAMPLE, size: int = SLICE, seed
     return [(r.text, r.lang) for r in taken.orderBy("lang", "h").collect()]
 
 
-@lru_cache(maxsize=4)
-def _model(blob: bytes) -> Model:
-    labels, weights, moves = pickle.loads(blob)
-    return Model(labels, weights, moves)
+def _predicted(batches, shared):
+    model = held(shared.id, lambda: Model(*pickle.loads(shared.value)))
+    for b in batches:
+        texts = b.column("text").cast(pa.string()).to_pylist()
+        names, scores = model.languages(texts)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
 
-def _predicted(batches, held):
-    model = _model(held.value)
-    for b in batches:
-        for i in range(0, b.num_rows, 1000):
-            part = b.slice(i, 1000)
-            names, scores = model.languages(part.column("text_").to_pylist())
-            keep = [part.column(j) for j in range(part.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names[:-1], "lang_pred", "score"])
+class _Shared:
+    """A broadcast value with a name of its own."""
+
+    def __init__(self, broadcast):
+        self.id, self.broadcast = uuid.uuid4().hex, broadcast
+
+    @property
+    def value(self):
+        return self.broadcast.value
 
 
 def identify(docs: DataFrame, training: DataFrame, rows: int = SAMPLE) -> DataFrame:
@@ -260,10 +300,9 @@ def identify(docs: DataFrame, training: DataFrame, rows: int = SAMPLE) -> DataFr
     sample = labelled_sample(training, rows)
     labels = sorted({lang for _, lang in sample})
     weights, moves = train(sample, labels)
-    held = docs.sparkSession.sparkContext.broadcast(pickle.dumps((labels, weights.astype(np.float32), moves)))
-    cols = docs.select("*", F.col("text").cast("string").alias("text_"))
+    shared = _Shared(docs.sparkSession.sparkContext.broadcast(pickle.dumps((labels, weights.astype(np.float32), moves))))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
-    return cols.mapInArrow(lambda b: _predicted(b, held), schema)
+    return docs.mapInArrow(lambda b: _predicted(b, shared), schema)
 
 
 def held_out(doc_id) -> F.Column:
