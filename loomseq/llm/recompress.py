@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, mix64, settled
+from .common import byte_rows, mix64
 
 CHUNK_BYTES = 4_000_000
 #: Base of the rolling hash, and odd constants that keep names of rounds apart.
@@ -340,7 +340,8 @@ def remove_repeats(docs: DataFrame, width: int = 35, chunk_bytes: int = CHUNK_BY
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("long"))
     grouped = rows.repartition("chunk")
     own = grouped.groupBy("chunk").applyInArrow(lambda key, left: _chunk_anchors(key, left, width, parts), "part long, chunk long, anchors array<long>")
-    shared = settled(own.repartition(parts, "part").mapInArrow(_shared_anchors, "chunk long, anchors array<long>"))
+    # one plan, so that Spark shuffles the texts and the anchors once and reads them again in each pass
+    shared = own.repartition(parts, "part").mapInArrow(_shared_anchors, "chunk long, anchors array<long>")
     flags = shared.select("chunk", F.lit(None).cast("long").alias("part"), "anchors", F.lit(None).cast("binary").alias("bits"))
     with_flags = grouped.groupBy("chunk").cogroup(flags.groupBy("chunk"))
     schema = "part long, chunk long, anchors array<long>, each array<int>, keys array<long>"
