@@ -64,38 +64,41 @@ def _digests(text: Column) -> list[Column]:
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, gone): for each document that has any, the numbers (from 1) of the chunks to remove.
+    """(dedup_row, gone): for each row that has any, the numbers (from 1) of the chunks to remove.
 
-    Of equal chunks the first by (doc_id, place) stays, a null doc_id coming
-    last; rows with one doc_id count as one document in this.
+    Of equal chunks the first by (doc_id, place, dedup_row) stays, a null
+    doc_id coming last. dedup_row must be settled and differ from row to row.
     """
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    every = texts.select("doc_id", F.posexplode(_chunks(F.col("text"))).alias("j", "chunk")).where("chunk.eligible")
-    digests = every.select("doc_id", F.col("j") + 1, *_digests(F.array_join("chunk.lines", "\n"))).toDF("doc_id", "j", "h1", "h2")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "j")
+    texts = docs.select("dedup_row", "doc_id", F.col("text").cast("string").alias("text"))
+    every = texts.select("dedup_row", "doc_id", F.posexplode(_chunks(F.col("text"))).alias("j", "chunk")).where("chunk.eligible")
+    digests = every.select("dedup_row", "doc_id", F.col("j") + 1, *_digests(F.array_join("chunk.lines", "\n"))).toDF("dedup_row", "doc_id", "j", "h1", "h2")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "j", "dedup_row")
     again = digests.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     again = settled(again)  # so that Spark can split the join on a chunk that many documents have
-    asked = digests.join(again, ["h1", "h2"]).select("doc_id", F.struct("j", "h1", "h2", (place == F.col("first")).alias("stays")).alias("at"))
-    asked = asked.groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
-    rows = texts.join(asked, texts.doc_id.eqNullSafe(asked.doc_id)).select(texts.doc_id, _chunks(F.col("text")).alias("chunks"), "ats")
-    one = rows.select("doc_id", "chunks", F.explode("ats").alias("at"))
-    one = one.select("doc_id", "at.*", F.array_join(F.element_at("chunks", F.col("at.j"))["lines"], "\n").alias("chunk"))
-    first = one.where("stays").select("h1", "h2", F.col("chunk").alias("first")).distinct()
+    asked = digests.join(again, ["h1", "h2"]).select("dedup_row", F.struct("j", "h1", "h2", (place == F.col("first")).alias("stays")).alias("at"))
+    asked = asked.groupBy("dedup_row").agg(F.collect_list("at").alias("ats"))
+    rows = texts.join(asked, "dedup_row").select("dedup_row", _chunks(F.col("text")).alias("chunks"), "ats")
+    one = rows.select("dedup_row", "chunks", F.explode("ats").alias("at"))
+    one = one.select("dedup_row", "at.*", F.array_join(F.element_at("chunks", F.col("at.j"))["lines"], "\n").alias("chunk"))
+    first = one.where("stays").select("h1", "h2", F.col("chunk").alias("first"))
     same = one.where("not stays").join(first, ["h1", "h2"]).where("chunk = first")
-    return same.groupBy("doc_id").agg(F.collect_set("j").alias("gone"))
+    return same.groupBy("dedup_row").agg(F.collect_list("j").alias("gone"))
 
 
 def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with text replaced by what is kept, and n_lines, n_removed (longs) added.
 
-    Null texts become empty; a document whose chunks all go gets an empty
-    text. Repeated rows and other columns stay as they are, but columns named
+    Each row is a document of its own, whatever its doc_id: of repeated rows
+    one keeps its text. Null texts become empty; a document whose chunks all
+    go gets an empty text. Other columns stay as they are, but columns named
     n_lines or n_removed are replaced. n_lines counts the text's lines before,
     n_removed those removed.
     """
     docs = docs.drop("n_lines", "n_removed")
-    gone = repeated_chunks(docs).select(F.col("doc_id").alias("dedup_id"), F.col("gone").alias("dedup_gone"))
-    rows = docs.join(gone, docs.doc_id.eqNullSafe(gone.dedup_id), "left")
+    # settled, so that each reading of the rows has the same numbers
+    numbered = settled(docs.withColumn("dedup_row", F.monotonically_increasing_id()))
+    gone = repeated_chunks(numbered).select("dedup_row", F.col("gone").alias("dedup_gone"))
+    rows = numbered.join(gone, "dedup_row", "left")
     chunks = F.transform(_chunks(F.col("text").cast("string")), lambda c, i: F.struct(c["lines"].alias("lines"), F.coalesce(F.array_contains("dedup_gone", i + 1), F.lit(False)).alias("gone")))
     rows = rows.withColumn("dedup_chunks", chunks)
     total = lambda cs: F.aggregate(cs, F.lit(0).cast("long"), lambda n, c: n + F.size(c["lines"]))

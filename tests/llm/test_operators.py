@@ -219,6 +219,16 @@ def test_line_chunks(spark):
     assert all(x.n_removed == 0 for x in linededup.remove_repeated_lines(single).collect())
 
 
+def test_line_chunks_are_removed_by_row(spark):
+    r = random.Random(21)
+    long = "\n".join(f"long {r.random()}" for _ in range(60))
+    for key in (None, 5):
+        rows = [(1, long), (key, long), (key, "own 1\nown 2"), (key, "own 3\nown 4\nown 5"), (key, "own 1\nown 2")]
+        out = linededup.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(x.text for x in out) == sorted([long, "", rows[2][1], rows[3][1], ""])
+        assert sorted(x.n_removed for x in out) == [0, 0, 0, 2, 60]
+
+
 # sketches
 
 
