@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from functools import cache, partial
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, mix64, settled
+from .common import byte_rows, settled
 from .graph import connected_components
 
 #: The generator of the (23, 12) Golay code, and XXH64's seed.
@@ -45,6 +46,11 @@ SEED = 42
 BUCKET = 4096
 LINK_BITS = 4
 
+#: Cells in which shingles are counted, one in how many texts is, and from how many times the mean (and one) a cell is common.
+CELLS, SAMPLED, COMMON = 1 << 20, 16, 4
+#: Bits of the map of texts that pairs ask for.
+BITS = 1 << 26
+
 
 @cache
 def golay() -> tuple[np.ndarray, np.ndarray]:
@@ -155,38 +161,133 @@ def _fingerprints(batches, width: int):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
 
-def _word_prints(batches, width: int, salts: int, size: int):
-    """Fingerprints of the set of words, one for each salt, and the least hashes of the shingles."""
+def _wholes(batches):
+    """The hash of all words of a text in order beside its row."""
+    for batch in batches:
+        wholes = [xxhash.xxh3_64_intdigest(b" ".join((t or b"").lower().split())) for t in byte_rows(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(wholes, np.uint64).view(np.int64))], ["doc_id", "text", "whole"])
+
+
+def _shingled(batches, width: int):
+    """The set of shingle hashes of each text, sorted."""
     for batch in batches:
-        ids, prints, sketches, wholes = batch.column(0), [], [], []
-        for t in byte_rows(batch.column(1)):
-            words = (t or b"").lower().split()
-            h = np.array(sorted({xxhash.xxh64_intdigest(w, SEED) for w in words}), np.uint64)
-            prints.append([majority(mix64(h + np.uint64(s * 0x9E3779B97F4A7C15 & (1 << 64) - 1))) for s in range(1, salts + 1)])
-            sketches.append(np.unique(shingle_hashes(t, width))[:size].tobytes())
-            wholes.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
-        found = np.array(prints, np.uint64).reshape(-1, salts).view(np.int64)
-        columns = [ids, *[pa.array(found[:, s]) for s in range(salts)], pa.array(np.array(wholes, np.uint64).view(np.int64)), pa.array(sketches, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", *[f"fp{s}" for s in range(salts)], "whole", "sketch"])
-
-
-def sketch_similarity(x: np.ndarray, y: np.ndarray, size: int) -> float:
-    """The Jaccard index of two sets from their size least hashes: exact for sets below that, else of the union's least."""
-    both = np.union1d(x, y)
-    if len(x) >= size or len(y) >= size:
-        both = both[:size]
-    if not len(both):
-        return 1.0
-    return float(np.isin(both, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean())
-
-
-def _similar(batches, least: float, size: int):
+        sets = [np.unique(shingle_hashes(t, width)).tobytes() for t in byte_rows(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("whole"), pa.array(sets, pa.binary())], ["whole", "shingles"])
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """The Jaccard index of two sorted sets; 1 if both are empty."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    union = len(x) + len(y) - both
+    return both / union if union else 1.0
+
+
+def _similar(batches, least: float):
     for batch in batches:
         x, y = byte_rows(batch.column("sa")), byte_rows(batch.column("sb"))
-        near = [sketch_similarity(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), size) >= least for p, q in zip(x, y)]
+        near = [jaccard(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= least for p, q in zip(x, y)]
         yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
+def _cells(batches):
+    """How many sampled sets have a shingle of each cell of the hashes."""
+    counts = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for t in byte_rows(batch.column(0)):
+            np.add.at(counts, (np.frombuffer(t, np.uint64) % np.uint64(CELLS)).astype(np.int64), 1)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["cell", "n"])
+
+
+def _prefixes(batches, least: float, cells: np.ndarray, levels: np.ndarray):
+    """Postings of the first shingles of each set, in one order for all sets: common ones last."""
+    level_of = np.zeros(CELLS, np.int8)
+    level_of[cells] = levels
+    for batch in batches:
+        keys, wholes, sizes, scores = [], [], [], []
+        for whole, t in zip(batch.column(0).to_numpy().tolist(), byte_rows(batch.column(1))):
+            x = np.frombuffer(t, np.uint64)
+            if not len(x):
+                continue
+            level = level_of[(x % np.uint64(CELLS)).astype(np.int64)]
+            n = len(x) - ceil(least * len(x) - 1e-9) + 1
+            first = np.argsort(level, kind="stable")[:n]  # x is sorted by hash
+            keys.append(x[first])
+            wholes.append(np.full(n, whole, np.int64))
+            sizes.append(np.full(n, len(x), np.int64))
+            scores.append(np.full(n, int(100 * (level[first] > 0).mean()), np.int64))
+        if keys:
+            columns = [pa.array(np.concatenate(keys).view(np.int64)), *[pa.array(np.concatenate(c)) for c in (wholes, sizes, scores)]]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "whole", "n", "score"])
+
+
+def _hub_pairs(batches, least: float):
+    """Rows (key, whole, n) sorted by key in; each row with the first of its key, if near enough in size."""
+    key, whole, size = None, 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k, w, n = (batch.column(i).to_numpy() for i in range(3))
+        new = np.concatenate([[key is None or k[0] != key], k[1:] != k[:-1]])
+        at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
+        hub, hub_n = np.where(at >= 0, w[at], whole), np.where(at >= 0, n[at], size)
+        key, whole, size = k[-1], hub[-1], hub_n[-1]
+        near = (hub != w) & (np.minimum(n, hub_n) >= least * np.maximum(n, hub_n) - 1e-6)
+        a, b = np.minimum(w, hub)[near], np.maximum(w, hub)[near]
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _among(batches, slots: np.ndarray, bits: np.ndarray):
+    """Rows whose first column may be among those of a bitmap of BITS bits."""
+    bitmap = np.zeros(BITS // 64, np.uint64)
+    bitmap[slots] = bits.view(np.uint64)
+    for batch in batches:
+        cell = batch.column(0).to_numpy().view(np.uint64) % np.uint64(BITS)
+        found = bitmap[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1)
+        yield batch.filter(pa.array(found.astype(bool)))
+
+
+def _apart_pairs(batches, least: float):
+    """Rows (key, whole, n, comp) sorted by key in; pairs of a key in different components, near enough in size, out."""
+
+    def pairs(rows: list[np.ndarray]):
+        k, w, n, c = rows
+        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        left, right, held_back = [], [], 0
+        for s, e in zip(starts, np.append(starts[1:], len(k))):
+            if e - s < 2 or (c[s:e] == c[s]).all():
+                continue
+            order = np.argsort(n[s:e], kind="stable") + s
+            bw, bn, bc = w[order], n[order], c[order]
+            ends = np.searchsorted(bn, bn / least + 1e-6, side="right")
+            for i in range(len(bw) - 1):
+                other = bw[i + 1 : ends[i]][bc[i + 1 : ends[i]] != bc[i]]
+                if len(other):
+                    left.append(np.minimum(other, bw[i]))
+                    right.append(np.maximum(other, bw[i]))
+                    held_back += len(other)
+                if held_back > 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+                    left, right, held_back = [], [], 0
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+    tail: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tail.append([batch.column(i).to_numpy() for i in range(4)])
+        k = tail[-1][0]
+        if k[-1] == tail[0][0][0]:
+            continue  # still one key
+        rows = [np.concatenate(c) for c in zip(*tail)]
+        last = len(rows[0]) - int(np.argmax(rows[0][::-1] != rows[0][-1]))
+        yield from pairs([c[:last] for c in rows])
+        tail = [[c[last:] for c in rows]]
+    if tail:
+        yield from pairs([np.concatenate(c) for c in zip(*tail)])
+
+
 def _keyed(batches):
     for batch in batches:
         whole = batch.column(0).to_numpy().view(np.uint64)
@@ -335,38 +436,52 @@ def components(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_components(docs: DataFrame, width: int = 5, least: float = 0.8, salts: int = 3, size: int = 128, bucket: int = BUCKET) -> DataFrame:
+def similar_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id): classes of documents whose sets of word shingles have that Jaccard index.
 
-    A changed word changes width shingles, so candidates come from SimHashes
-    of the set of words, which it hardly moves: salts independent ones, each
-    searched by Golay keys as above. A candidate pair links if its shingles
-    are similar enough, by the size least shingle hashes of each side (exact
-    below size shingles). Of an index of 0.8 about nine in ten pairs come up,
-    of 0.9 almost all. Rows must have an id; those with one id are one
-    document. Texts of the same words in the same order always link.
+    The search is complete: two sets that similar share a shingle among the
+    first (1 - least) of each, in any order common to all sets. That order puts
+    common shingles last, by counts of a sample, which decide the work and not
+    the result. Each pair is decided by its whole sets: first each text with
+    the most common text of each of its keys, which links groups of near copies
+    in linear work, then all pairs of a key that aren't connected by then; these
+    grow with the square of what is left unconnected. Rows must have an id;
+    those with one id are one document. Texts of the same words in the same
+    order always link.
     """
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
-    names = [f"fp{s}" for s in range(salts)]
-    schema = f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names) + ", whole long, sketch binary"
-    rows = rows.mapInArrow(partial(_word_prints, width=width, salts=salts, size=size), schema)
+    given = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    kind = dict(given.dtypes)["doc_id"]
+    hashed = given.mapInArrow(_wholes, f"doc_id {kind}, text string, whole long")
+    rows = settled(hashed.select("doc_id", "whole"))
     # one row for each different text: its least id
-    rows = settled(rows)
     firsts = rows.groupBy("whole").agg(F.min("doc_id").alias("first"))
     copies = rows.select("doc_id", "whole").join(firsts, "whole").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    texts = rows.join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = settled(texts)
-    asked = None
-    for name in names:
-        lead = texts.groupBy(F.col(name).alias("fp")).agg(F.min("doc_id").alias("lead"))
-        links = fingerprint_links(lead, bucket)
-        found = links.join(lead.toDF("a", "x"), "a").join(lead.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        same = texts.select("doc_id", F.col(name).alias("fp")).join(lead, "fp").where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))
-        asked = found.union(same) if asked is None else asked.union(found).union(same)
-    sketch = texts.select("doc_id", "sketch")
-    pairs = asked.distinct().join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    near = pairs.mapInArrow(partial(_similar, least=least, size=size), f"a {kind}, b {kind}")
+    texts = hashed.join(firsts, "whole").where("doc_id = first").select("whole", "text").dropDuplicates(["whole"])
+    texts = settled(texts.mapInArrow(partial(_shingled, width=width), "whole long, shingles binary"))
+
+    def verified(asked: DataFrame) -> DataFrame:
+        asked = settled(asked.distinct())
+        # only the sets that some pair asks for, and few others, are shuffled
+        cells = asked.select(F.explode(F.array("a", "b")).alias("id")).select(F.pmod("id", F.lit(BITS)).alias("cell"))
+        slots = cells.groupBy(F.shiftright("cell", 6).alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(cell & 63 AS int)))").alias("bits")).toArrow()
+        some = texts.mapInArrow(partial(_among, slots=slots["slot"].to_numpy(), bits=slots["bits"].to_numpy()), texts.schema)
+        pairs = asked.join(some.toDF("a", "sa"), "a").join(some.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+        return settled(pairs.mapInArrow(partial(_similar, least=least), "a long, b long"))
+
+    sample = texts.where(F.pmod("whole", F.lit(SAMPLED)) == 0).select("shingles")
+    counted = settled(sample.mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")))
+    mean = (counted.agg(F.sum("n")).first()[0] or 0) / CELLS
+    common = counted.where(F.col("n") >= COMMON * (1 + mean)).toArrow()
+    cells, levels = common["cell"].to_numpy(), np.log2(common["n"].to_numpy()).astype(np.int8)
+    postings = texts.mapInArrow(partial(_prefixes, least=least, cells=cells, levels=levels), "key long, whole long, n long, score long")
+
+    by_key = postings.repartition("key").sortWithinPartitions("key", F.desc("score"), "whole").select("key", "whole", "n")
+    links = verified(by_key.mapInArrow(partial(_hub_pairs, least=least), "a long, b long"))
+    stars = connected_components(links)
+    placed = postings.join(stars, postings.whole == stars.node, "left").select("key", "whole", "n", F.coalesce("comp", "whole").alias("comp"))
+    rest = placed.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_apart_pairs, least=least), "a long, b long")
+    links = links.union(verified(rest))
+    near = links.join(firsts.toDF("a", "x"), "a").join(firsts.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     stars = connected_components(near.union(copies))
     ids = rows.select("doc_id").distinct()
     return ids.join(stars, ids.doc_id == stars.node, "left").select("doc_id", F.coalesce("comp", "doc_id").alias("component_id"))

@@ -142,6 +142,34 @@ def test_similar_components(spark):
     assert got[122] == 122  # the same words in another order
 
 
+def test_similar_components_against_all_pairs(spark):
+    r = random.Random(22)
+    some = lambda n: [f"w{r.randrange(900)}" for _ in range(n)]
+    texts = []
+    for i in range(40):  # cut at the end, appended to, a block replaced; about 0.8, some of over 128 shingles
+        ws = some(r.randrange(60, 500))
+        k = int(len(ws) * r.choice([0.17, 0.19, 0.2, 0.21, 0.23]))
+        texts += [ws, [ws[:-k], ws + some(k), ws[: len(ws) // 2] + some(k // 2) + ws[len(ws) // 2 + k // 2 :]][i % 3]]
+    base = some(170)
+    for i in range(60):  # each about 0.84 to the base, under 0.8 to most others
+        ws = list(base)
+        for _ in range(3):
+            ws[r.randrange(170)] = f"new{r.random()}"
+        texts.append(ws)
+    texts.append(base)
+    sets = [{tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} for ws in texts]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both / (len(sets[i]) + len(sets[j]) - both) >= 0.8 and want[i] != want[j]:
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = [new if w == old else w for w in want]
+    got = {x.doc_id: x.component_id for x in simhash.similar_components(frame(spark, map(" ".join, texts))).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert len(set(want[80:])) < 5 and 20 < len(set(want[:80])) < 78
+
+
 # byte-level BPE
 
 
