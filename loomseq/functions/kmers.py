@@ -21,8 +21,19 @@ def kmers(seq, k: int) -> Column:
     return let(F.upper(col(seq)), lambda s: windows(s, k))
 
 
+def distinct_kmers(seq, k: int) -> Column:
+    return F.array_distinct(kmers(seq, k))
+
+
 def canonical_kmers(seq, k: int) -> Column:
-    return F.transform(kmers(seq, k), lambda x: F.least(x, reverse_complement(x)))
+    """Each k-mer or its reverse complement, whichever is first; that is a window of the whole complement, from the other end."""
+
+    def both(p: Column) -> Column:
+        n = F.size(p["other"])
+        return F.transform(p["own"], lambda x, i: F.least(x, F.get(p["other"], n - 1 - i)))
+
+    s = F.upper(col(seq))
+    return let(F.struct(kmers(s, k).alias("own"), kmers(reverse_complement(s), k).alias("other")), both)
 
 
 def sketch_hash(kmer: Column, method: str = "xxhash64") -> Column:
@@ -39,8 +50,9 @@ def minhash_sketch(seq, k: int, num_hashes: int, method: str = "xxhash64") -> Co
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 0 if both are empty."""
-    both = F.struct(a.alias("a"), b.alias("b"))
-    return let(both, lambda x: ratio(F.size(F.array_intersect(x["a"], x["b"])), F.size(F.array_union(x["a"], x["b"]))))
+    both = F.struct(F.array_distinct(a).alias("a"), F.array_distinct(b).alias("b"))
+    counted = let(both, lambda x: F.struct(F.size(F.array_intersect(x["a"], x["b"])).alias("n"), (F.size(x["a"]) + F.size(x["b"])).alias("all")))
+    return let(counted, lambda x: ratio(x["n"], x["all"] - x["n"]))
 
 
 def jaccard_similarity(a, b, k: int) -> Column:
@@ -105,8 +117,13 @@ def minimizers(seq, k: int, w: int) -> Column:
     """
 
     def least(every: Column) -> Column:
+        # the least of 1, 2, 4, ... in a row, each from two of the one before
+        found, span, width = every, 1, F.least(F.lit(w), F.size(every))
+        while 2 * span <= w:
+            found = let(found, lambda x: F.transform(x, lambda y, i: F.least(y, F.get(x, i + span))))
+            span *= 2
         last = F.greatest(F.size(every) - (w - 1), F.lit(1))
-        return F.transform(F.sequence(F.lit(1), last), lambda i: F.array_min(F.slice(every, i, F.lit(w))))
+        return let(found, lambda x: F.transform(F.slice(x, F.lit(1), last), lambda y, i: F.least(y, F.get(x, i + F.greatest(width - span, F.lit(0))))))
 
     def changed(found: Column) -> Column:
         kept = F.filter(found, lambda x, i: x.isNotNull() & ((i == 0) | (x["kmer"] != F.get(found, i - 1)["kmer"])))

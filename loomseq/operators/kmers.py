@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kmers import canonical_kmers, kmers
-from ..functions.sequence import ratio
+from ..functions.kmers import distinct_kmers
+from ..functions.sequence import ratio, reverse_complement
 
 
 def tokenise(df: DataFrame, k: int, canonical: bool = False) -> DataFrame:
     """(idx, kmer): a row for each window; none for shorter sequences."""
-    parts = canonical_kmers("seq", k) if canonical else kmers("seq", k)
-    return df.select("idx", F.explode(parts).alias("kmer"))
+    if k < 1:
+        raise ValueError("k must be positive")
+    s = F.upper("seq")
+    rows = df.select("idx", s.alias("s"), *([reverse_complement(s).alias("r")] if canonical else [])).where(F.length("s") >= k)
+    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.length("s") - (k - 1))).alias("i"))
+    own = F.substring(F.col("s"), F.col("i"), F.lit(k))
+    # the window's reverse complement is a window of the whole one, from the other end
+    other = F.substring(F.col("r"), F.length("s") - F.col("i") - (k - 2), F.lit(k))
+    return rows.select("idx", (F.least(own, other) if canonical else own).alias("kmer"))
 
 
 def kmer_counts(df: DataFrame, k: int, canonical: bool = False, strict: bool = False) -> DataFrame:
@@ -39,7 +46,7 @@ def _common(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
 
 
 def _sizes(df: DataFrame, k: int, key: str, name: str) -> DataFrame:
-    return df.select(F.col("idx").alias(key), F.size(F.array_distinct(kmers("seq", k))).cast("long").alias(name))
+    return df.select(F.col("idx").alias(key), F.size(distinct_kmers("seq", k)).cast("long").alias(name))
 
 
 def shared_kmers(a: DataFrame, b: DataFrame, k: int, triangle: bool = False) -> DataFrame:
