@@ -45,8 +45,14 @@ def primer_match(seq, primer, max_mismatch: int, metric: str = "levenshtein") ->
     s, p = col(seq), primer if isinstance(primer, Column) else F.lit(primer)
     last = F.octet_length(s) - F.octet_length(p) + 1
     part = lambda i: F.substring(s, i, F.octet_length(p))
-    apart = hamming_distance if metric == "hamming" else levenshtein_distance
-    found = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.struct((i - 1).cast("long").alias("pos"), apart(part(i), p).alias("dist")))
+
+    def apart(x: Column) -> Column:
+        if metric == "hamming":
+            return hamming_distance(x, p)
+        near = F.levenshtein(x, p, max_mismatch)  # -1 beyond that
+        return F.when(near >= 0, near.cast("long")).otherwise(max_mismatch + 1)
+
+    found = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.struct((i - 1).cast("long").alias("pos"), apart(part(i)).alias("dist")))
     kept = F.filter(found, lambda x: x["dist"] <= max_mismatch)
     return F.when(last >= 1, kept).otherwise(F.slice(kept, 1, 0))
 

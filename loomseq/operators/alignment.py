@@ -94,22 +94,40 @@ def align_local(a: str, b: str, match: int, mismatch: int, gap: int) -> tuple[st
     return aligned([(a, b)], match, mismatch, gap, True)[0]
 
 
-def score_banded(a: str, b: str, band: int, match: int, mismatch: int, gap: int) -> int:
-    """The global score within |i - j| <= band, in memory of one row of the band."""
-    n, m = len(a), len(b)
-    if abs(n - m) > band:
-        raise ValueError("lengths differ by more than the band")
-    row = {j: j * gap for j in range(min(m, band) + 1)}
+def scored_banded(pairs: list[tuple[str, str]], band: int, match: int, mismatch: int, gap: int) -> list[int]:
+    """The global score of each pair within |i - j| <= band; a row of the band of all pairs is a few array operations.
+
+    Column c of a row holds j = i + c - band. A run of gaps along the row is
+    a running maximum.
+    """
+    for a, b in pairs:
+        if abs(len(a) - len(b)) > band:
+            raise ValueError("lengths differ by more than the band")
+    if not pairs:
+        return []
+    n, m = max(len(a) for a, _ in pairs), max(len(b) for _, b in pairs)
+    x, y = _codes([a for a, _ in pairs], n, -1), np.pad(_codes([b for _, b in pairs], m, -2), ((0, 0), (band + 1, n + band + 1)), constant_values=-2)
+    c = np.arange(2 * band + 1)
+    slope = c * gap
+    first = np.where(c >= band, (c - band) * gap, OUT_OF_BAND)
+    row = np.broadcast_to(first, (len(pairs), len(c))).astype(np.int64)
+    size, width = np.array([len(a) for a, _ in pairs]), np.array([len(b) for _, b in pairs])
+    out = np.where(size == 0, width * gap, 0)
     for i in range(1, n + 1):
-        new = {}
-        for j in range(max(0, i - band), min(m, i + band) + 1):
-            if j == 0:
-                new[j] = i * gap
-                continue
-            diagonal = row.get(j - 1, OUT_OF_BAND) + (match if a[i - 1] == b[j - 1] else mismatch)
-            new[j] = max(diagonal, row.get(j, OUT_OF_BAND) + gap, new.get(j - 1, OUT_OF_BAND) + gap)
-        row = new
-    return row[m]
+        step = np.where(x[:, i - 1 : i] == y[:, i : i + 2 * band + 1], match, mismatch)
+        above = np.concatenate([row[:, 1:], np.full((len(pairs), 1), OUT_OF_BAND)], axis=1)
+        best = np.maximum(row + step, above + gap)
+        j = i + c - band
+        best[:, j < 0], best[:, j == 0] = OUT_OF_BAND, i * gap
+        row = np.maximum.accumulate(best - slope, axis=1) + slope
+        row[:, j < 0] = OUT_OF_BAND
+        done = size == i
+        out[done] = row[done, (width - size + band)[done]]
+    return out.tolist()
+
+
+def score_banded(a: str, b: str, band: int, match: int, mismatch: int, gap: int) -> int:
+    return scored_banded([(a, b)], band, match, mismatch, gap)[0]
 
 
 def _aligner(local: bool, match: int, mismatch: int, gap: int):
@@ -134,7 +152,12 @@ def smith_waterman(a, b, match: int = 1, mismatch: int = -1, gap: int = -1) -> C
 def banded_alignment(a, b, bandwidth: int, match: int = 1, mismatch: int = -1, gap: int = -1) -> Column:
     @pandas_udf("int")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else score_banded(x, y, bandwidth, match, mismatch, gap) for x, y in zip(a, b)], dtype="Int32")
+        some = [k for k, (x, y) in enumerate(zip(a, b)) if x is not None and y is not None]
+        found = pd.Series([None] * len(a), dtype="Int32")
+        for s in range(0, len(some), 1024):  # pairs of like length share array operations
+            part = some[s : s + 1024]
+            found.iloc[part] = scored_banded([(a.iloc[k], b.iloc[k]) for k in part], bandwidth, match, mismatch, gap)
+        return found
 
     return run(a, b)
 
@@ -198,9 +221,11 @@ def correct_barcode(barcodes: DataFrame, whitelist: DataFrame, max_distance: int
     n = F.length("barcode")
     edge = lambda k: F.floor(n * k / pieces).cast("int")
     own = F.array(*[F.struct(F.lit(k).alias("k"), edge(k).alias("at"), F.substring(F.col("barcode"), edge(k) + 1, edge(k + 1) - edge(k)).alias("part")) for k in range(pieces)])
-    lengths = b.select(n.alias("n")).distinct()
+    # one row per length of a text: tens, and no more than the longest has letters
+    lengths = [r.n for r in b.where("barcode is not null").select(n.alias("n")).distinct().collect()]
+    near = F.filter(F.array(*[F.lit(x) for x in lengths]).cast("array<int>"), lambda x: F.abs(F.length("entry") - x) <= max_distance)
     cut = b.select("barcode", n.alias("n"), F.explode(own).alias("p")).select("barcode", "n", "p.*")
-    w = whitelist.select(F.col("idx").alias("w_idx"), "entry").join(lengths, F.abs(F.length("entry") - F.col("n")) <= max_distance)
+    w = whitelist.select(F.col("idx").alias("w_idx"), "entry", F.explode(near).alias("n"))
     shifted = []
     for k in range(pieces):
         at, end = F.floor(F.col("n") * k / pieces).cast("int"), F.floor(F.col("n") * (k + 1) / pieces).cast("int")
@@ -220,9 +245,10 @@ def is_unique_peptide(peptides: DataFrame, proteins: DataFrame) -> DataFrame:
     Joined on windows of proteins as long as the peptides.
     """
     p = peptides.select("peptide").distinct().withColumn("n", F.octet_length("peptide"))
-    lengths = p.select("n").distinct()
+    lengths = [r.n for r in p.where("n is not null").select("n").distinct().collect()]  # no more than the longest peptide has letters
     size = F.octet_length("seq")
-    rows = proteins.select("idx", "seq").join(lengths, size >= F.col("n"))
+    fit = F.filter(F.array(*[F.lit(x) for x in lengths]).cast("array<int>"), lambda x: x <= size)
+    rows = proteins.select("idx", "seq", F.explode(fit).alias("n"))
     at = F.transform(F.sequence(F.lit(1), F.octet_length("seq") - F.col("n") + 1), lambda i: F.substring(F.col("seq"), i, F.col("n")))
     rows = rows.select("idx", "n", F.explode(F.array_distinct(at)).alias("peptide"))
     hits = p.join(rows, ["n", "peptide"]).groupBy("peptide").agg(F.sort_array(F.collect_list("idx")).alias("proteins"))
