@@ -1,9 +1,12 @@
 """Interval joins without quadratic work: (idx, chrom, start_, end_, ...) tables, half-open.
 
-An overlap join puts each interval in the bins of a width that it touches,
-joins by chromosome and bin, and keeps a pair only in the bin where the later
-start lies, so no pair comes twice and nothing is made distinct. Windows over
-a whole chromosome, of which there are few, only see one row per bin.
+An overlap join puts each interval in the bins that it touches, joins by
+chromosome and bin, and keeps a pair only in the bin where the later start
+lies, so no pair comes twice and nothing is made distinct. A long interval is
+put in wider bins, SPAN at most; a shorter one goes to these too where such
+long ones are in the other table, and a pair is looked for at the level of
+the longer of the two. Windows over a whole chromosome, of which there are
+few, only see one row per bin.
 """
 
 from __future__ import annotations
@@ -14,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.records import gap_distance
 
-#: Width of a bin; about the intervals' median length is best.
-WIDTH = 1000
+#: Width of a bin; about the intervals' median length is best. Bins of an interval at most; how much wider the next level's are.
+WIDTH, SPAN = 1000, 64
 #: Width of the ranges in which neighbours and merges are first looked for.
 RANGE = 100_000
 NO_DISTANCE = (1 << 63) - 1
@@ -29,37 +32,65 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def _binned(df: DataFrame, prefix: str, width: int, low: Column, high: Column) -> DataFrame:
-    bins = F.sequence(_bin(low, width), F.greatest(_bin(low, width), _bin(high, width)))
-    return _prefixed(df, prefix).withColumn("bin_", F.explode(bins))
+def _level(width: int, low: Column, high: Column) -> Column:
+    """The least level whose bins, width * SPAN ** level wide, the span from low to high fills SPAN of at most."""
+    n, found = high - low, F.lit(0)
+    for level in range(1, 6):
+        found = F.when(n > F.lit(width * SPAN**level), level).otherwise(found)
+    return found
+
+
+def _levels(df: DataFrame, width: int, low: str | Column, high: str | Column) -> list[int]:
+    """Which levels there are; six at most."""
+    return sorted(df.agg(F.collect_set(_level(width, low, high)).alias("x")).first().x)
+
+
+def _binned(df: DataFrame, prefix: str, width: int, low: Column, high: Column, levels: list[int]) -> DataFrame:
+    """A row for each bin of an interval at its own level and at the other table's higher levels."""
+    own = _level(width, low, high)
+
+    def bins(level: int) -> Column:
+        w = width * SPAN**level
+        at = F.transform(F.sequence(_bin(low, w), F.greatest(_bin(low, w), _bin(high, w))), lambda x: F.struct(F.lit(level).alias("level"), x.alias("bin")))
+        return F.when(own == level if level not in levels else own <= level, at).otherwise(F.slice(at, 1, 0))
+
+    rows = _prefixed(df, prefix).withColumn(f"{prefix}level_", own)
+    return rows.withColumn("at_", F.explode(F.flatten(F.array(*[bins(x) for x in sorted({*levels, *range(6)})])))).select("*", F.col("at_.level").alias("at_level_"), F.col("at_.bin").alias("bin_")).drop("at_")
+
+
+def _joined(a: DataFrame, b: DataFrame, width: int, ends_a: tuple[Column, Column], ends_b: tuple[Column, Column], hit: Column, later: Column) -> DataFrame:
+    """Pairs of a_ and b_ rows in one bin, at the level of the longer, that hit and whose later start is in the bin."""
+    x = _binned(a, "a_", width, *ends_a, _levels(_prefixed(b, "b_"), width, *ends_b))
+    y = _binned(b, "b_", width, *ends_b, _levels(_prefixed(a, "a_"), width, *ends_a))
+    bin_width = F.lit(width) * F.element_at(F.array(*[F.lit(SPAN**i) for i in range(6)]), x.at_level_ + 1)
+    own = x.bin_ == F.floor(later / bin_width).cast("long")
+    longer = F.greatest("a_level_", "b_level_") == x.at_level_
+    found = x.join(y, (x.a_chrom == y.b_chrom) & (x.at_level_ == y.at_level_) & (x.bin_ == y.bin_) & hit & longer & own)
+    return found.drop("bin_", "at_level_", "a_level_", "b_level_")
 
 
 def overlap_join(a: DataFrame, b: DataFrame, width: int = WIDTH) -> DataFrame:
     """All pairs that overlap (a.start < b.end and b.start < a.end), columns prefixed a_ and b_."""
-    x = _binned(a, "a_", width, F.col("a_start_"), F.col("a_end_") - 1)
-    y = _binned(b, "b_", width, F.col("b_start_"), F.col("b_end_") - 1)
     hit = (F.col("a_start_") < F.col("b_end_")) & (F.col("b_start_") < F.col("a_end_"))
-    own = x.bin_ == _bin(F.greatest("a_start_", "b_start_"), width)
-    return x.join(y, (x.a_chrom == y.b_chrom) & (x.bin_ == y.bin_) & hit & own).drop("bin_")
+    ends = [(F.col(f"{x}_start_"), F.col(f"{x}_end_") - 1) for x in "ab"]
+    return _joined(a, b, width, *ends, hit, F.greatest("a_start_", "b_start_"))
 
 
 def near_join(a: DataFrame, b: DataFrame, most: int, width: int = WIDTH) -> DataFrame:
     """All pairs of a chromosome with at most most bases between them (0 if they touch), with distance."""
-    width = max(width, most)
-    x = _binned(a, "a_", width, F.col("a_start_") - most, F.col("a_end_") + most)
-    y = _binned(b, "b_", width, F.col("b_start_"), F.col("b_end_"))
     gap = gap_distance("a_start_", "a_end_", "b_start_", "b_end_")
-    own = x.bin_ == _bin(F.greatest(F.col("a_start_") - most, F.col("b_start_")), width)
-    near = x.join(y, (x.a_chrom == y.b_chrom) & (x.bin_ == y.bin_) & (gap <= most) & own)
-    return near.drop("bin_").withColumn("distance", gap)
+    ends = (F.col("a_start_") - most, F.col("a_end_") + most), (F.col("b_start_"), F.col("b_end_"))
+    return _joined(a, b, max(width, most), *ends, gap <= most, F.greatest(F.col("a_start_") - most, F.col("b_start_"))).withColumn("distance", gap)
 
 
 def point_join(intervals: DataFrame, points: DataFrame, width: int = WIDTH) -> DataFrame:
     """Pairs of an interval (i_...) and a point (p_chrom, p_pos, ...) with start <= pos < end."""
-    x = _binned(intervals, "i_", width, F.col("i_start_"), F.col("i_end_") - 1)
-    y = _prefixed(points, "p_").withColumn("bin_", _bin(F.col("p_pos"), width))
+    low, high = F.col("i_start_"), F.col("i_end_") - 1
+    x = _binned(intervals, "i_", width, low, high, [])
+    at = [F.struct(F.lit(i).alias("level"), _bin(F.col("p_pos"), width * SPAN**i).alias("bin")) for i in _levels(_prefixed(intervals, "i_"), width, low, high)]
+    y = _prefixed(points, "p_").withColumn("to_", F.explode(F.array(*at).cast("array<struct<level:int,bin:bigint>>")))
     hit = (F.col("p_pos") >= F.col("i_start_")) & (F.col("p_pos") < F.col("i_end_"))
-    return x.join(y, (x.i_chrom == y.p_chrom) & (x.bin_ == y.bin_) & hit).drop("bin_")
+    return x.join(y, (x.i_chrom == y.p_chrom) & (x.at_level_ == F.col("to_.level")) & (x.bin_ == F.col("to_.bin")) & hit).drop("bin_", "at_level_", "i_level_", "to_")
 
 
 def point_counts(intervals: DataFrame, points: DataFrame, by: list[str], width: int = WIDTH) -> DataFrame:
@@ -93,6 +124,14 @@ def bed_intersect(a: DataFrame, b: DataFrame, width: int = WIDTH) -> DataFrame:
     return rows.where("length > 0")
 
 
+def bed_intersect_files(a: DataFrame, files: DataFrame, width: int = WIDTH) -> DataFrame:
+    """bed_intersect of a with each file's intervals (file, idx, chrom, start_, end_, name), with file, in one plan."""
+    start, end = F.greatest("a_start_", "b_start_"), F.least("a_end_", "b_end_")
+    rows = overlap_join(a, files, width)
+    rows = rows.select(F.col("b_file").alias("file"), "a_idx", "b_idx", F.col("a_chrom").alias("chrom"), start.alias("start_"), end.alias("end_"), "a_name", "b_name", (end - start).alias("length"))
+    return rows.where("length > 0")
+
+
 def filter_blacklist(intervals: DataFrame, blacklist: DataFrame, width: int = WIDTH) -> DataFrame:
     hit = overlap_join(intervals, blacklist, width).select(F.col("a_idx").alias("idx"))
     return intervals.join(hit, "idx", "left_anti")

@@ -8,6 +8,7 @@ from ..operators import reads as Q
 from ..operators.intervals import interval_stats, region_coverage, value_counts
 from ..operators.matrices import merge_count_matrices
 from ..sources import text as T
+from ..sources.batches import batch_fastq_filter, parallel_parse_fasta
 from ..sources.fastq import read_fastq
 from ..sources.scratch import scratch_path
 from .views import view
@@ -24,8 +25,8 @@ def _add(name: str, f, sql: str | None = None) -> None:
 
 
 def _file(spark, d: str, kind: str) -> str:
-    """The path of a kind of file made from the tables at d; made once in a session."""
-    key = (spark.sparkContext.applicationId, d, kind)
+    """The path of a kind of file made from the tables at d; made once in a session for the same table files."""
+    key = (spark.sparkContext.applicationId, d, kind, _stamp(spark, d))
     if key not in _written:
         path = scratch_path(spark, kind)
         LINES[kind](spark, d).write.text(path, compression="gzip" if kind.endswith(".gz") else "none")
@@ -33,6 +34,13 @@ def _file(spark, d: str, kind: str) -> str:
     return _written[key]
 
 
+def _stamp(spark, d: str) -> tuple:
+    """Sizes and times of what is in a folder, so that changed tables make new files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(d)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
 def _reads(spark, d):
     return view(spark, d, "g_reads").select(F.concat(F.lit("read_"), F.col("idx").cast("string")).alias("header"), "seq", "qual")
 
@@ -70,7 +78,7 @@ def _matrix_lines(spark, d):
     head = spark.createDataFrame([("\t".join(["gene"] + [f"c{i}" for i in range(8)]), -1)], "value string, row long")
     body = _matrix(spark, d).groupBy("row").pivot("col", list(range(8))).agg(F.sum("value"))
     line = F.concat_ws("\t", F.concat(F.lit("g"), F.col("row").cast("string")), *[F.coalesce(F.col(str(i)).cast("string"), F.lit("x")) for i in range(8)])
-    return head.union(body.select(line, "row")).orderBy("row").coalesce(1).select("value")
+    return head.union(body.select(line, "row")).orderBy("row").coalesce(1).select("value")  # one small file, its header first
 
 
 def fastq(spark, d):
@@ -110,14 +118,9 @@ _add("fastq_filter", _filtered, KEPT.format(27))
 
 
 def _batch(s, d):
-    """Two inputs, plain and gzip, each filtered into its own output."""
-    out = None
-    for kind in ("fastq", "fastq.gz"):
-        path = scratch_path(s, "batch")
-        T.write_fastq(Q.fastq_filter(read_fastq(s, _file(s, d, kind)), 30, 27.0), path, "gzip")
-        n = read_fastq(s, path).agg(F.count("*").alias("kept")).select(F.lit(kind).alias("input"), "kept")
-        out = n if out is None else out.union(n)
-    return out
+    """Two inputs, plain and gzip."""
+    inputs = {_file(s, d, kind): kind for kind in ("fastq", "fastq.gz")}
+    return batch_fastq_filter(s, inputs, scratch_path(s, "batch"), 30, 27.0)
 
 
 _add("batch_fastq_filter", _batch, f"WITH k AS ({KEPT.format(27)}) SELECT unnest(['fastq', 'fastq.gz']) AS input, (SELECT count(*) FROM k) AS kept")
@@ -151,7 +154,7 @@ def _to_fasta(s, d):
 _add("fastq_to_fasta", _to_fasta, "SELECT 'read_' || idx AS header, seq FROM g_reads")
 FASTA = "SELECT 'p' || idx AS header, seq FROM g_proteins"
 _add("parse_fasta", lambda s, d: T.read_fasta(s, _file(s, d, "fasta")).select("header", "seq"), FASTA)
-_add("parallel_parse_fasta", lambda s, d: T.read_fasta(s, _file(s, d, "fasta"), _file(s, d, "fasta") + "-missing", ignore_missing=True).select("header", "seq"), FASTA)
+_add("parallel_parse_fasta", lambda s, d: parallel_parse_fasta(s, [_file(s, d, "fasta"), _file(s, d, "fasta") + "-missing"]).select("header", "seq"), FASTA)
 
 MAPPED, PLACED = "flag & 4 = 0", "flag & 4 = 0 AND rname <> '*'"
 _add(
@@ -240,7 +243,7 @@ _add(
 
 def _gz(s, d):
     path = scratch_path(s, "gz")
-    T.write_gz(LINES["bed"](s, d).coalesce(1), path)
+    T.write_gz(LINES["bed"](s, d), path)
     return T.read_gz(s, path).select(F.explode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("line"))
 
 

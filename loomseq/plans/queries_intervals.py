@@ -57,10 +57,8 @@ TWO = INTERSECT.replace("SELECT a.idx", "SELECT b.idx % 3 AS file_no, a.idx", 1)
 
 
 def _many(s, d):
-    files = others(s, d).withColumn("file_no", F.col("idx") % 3)
-    start, end = F.greatest("a_start_", "b_start_"), F.least("a_end_", "b_end_")
-    rows = I.overlap_join(peaks(s, d), files)
-    return rows.select(F.col("b_file_no").alias("file_no"), "a_idx", "b_idx", F.col("a_chrom").alias("chrom"), start.alias("start_"), end.alias("end_"), "a_name", "b_name", (end - start).alias("length")).where("length > 0")
+    """The intervals of the plus strand as three files."""
+    return I.bed_intersect_files(peaks(s, d), others(s, d).withColumn("file", F.col("idx") % 3)).withColumnRenamed("file", "file_no")
 
 
 _add("parallel_bed_intersect", _many, TWO)

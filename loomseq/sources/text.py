@@ -111,7 +111,7 @@ def read_sam(spark: SparkSession, *paths: str) -> DataFrame:
 def read_fasta(spark: SparkSession, *paths: str, ignore_missing: bool = False) -> DataFrame:
     """(file, header, seq): a record is what stands from one > at a line's start to the next; without a header it goes."""
     if ignore_missing:
-        paths = [p for p in paths if _exists(spark, p)]
+        paths = [p for p in paths if path_exists(spark, p)]
         if not paths:
             return spark.createDataFrame([], "file string, header string, seq string")
     rows = spark.read.option("lineSep", "\n>").text(list(paths)).select(F.input_file_name().alias("file"), F.col("value"), F.monotonically_increasing_id().alias("n"))
@@ -121,11 +121,11 @@ def read_fasta(spark: SparkSession, *paths: str, ignore_missing: bool = False) -
     seq = F.array_join(F.transform(F.slice(first, 2, F.greatest(F.size(first) - 1, F.lit(0))), lambda x: F.trim(x)), "")
     head = F.trim(F.element_at(first, 1))
     starts = rows.groupBy("file").agg(F.min("n").alias("n0"))
-    rows = rows.join(F.broadcast(starts), "file").where((F.col("n") > F.col("n0")) | F.col("value").startswith(">"))  # a row per file
+    rows = rows.join(starts, "file").where((F.col("n") > F.col("n0")) | F.col("value").startswith(">"))
     return rows.select("file", head.alias("header"), seq.alias("seq")).where("header <> ''")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
@@ -142,7 +142,7 @@ def read_expression_matrix(spark: SparkSession, path: str, delimiter: str = "\t"
 
 
 def read_gz(spark: SparkSession, path: str) -> DataFrame:
-    """(value): a text file, plain or gzip with any number of members, as one row."""
+    """(value): a text file, plain or gzip with any number of members, as one row, so of 2 GB at most; read_lines has no bound."""
     return spark.read.text(path, wholetext=True)
 
 
@@ -151,8 +151,12 @@ def write_gz(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").option("compression", "gzip").text(path)
 
 
+def fastq_line() -> Column:
+    return F.concat(F.lit("@"), F.col("header"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.col("qual")).alias("value")
+
+
 def fastq_lines(df: DataFrame) -> DataFrame:
-    return df.select(F.concat(F.lit("@"), F.col("header"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.col("qual")).alias("value"))
+    return df.select(fastq_line())
 
 
 def write_fastq(df: DataFrame, path: str, compression: str = "none") -> None:
