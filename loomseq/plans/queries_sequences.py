@@ -213,24 +213,82 @@ _add(
     lambda spark, d: OK.estimate_abundance(OK.tokenise(view(spark, d, "g_reads"), 8), OK.tokenise(view(spark, d, "g_taxa"), 8)).select(F.round("abundance", 9).alias("abundance")),
     f"WITH q AS (SELECT DISTINCT w FROM ({_words(8, 'g_reads')})), r AS (SELECT DISTINCT w FROM ({_words(8, 'g_taxa')})) SELECT round(count(q.w)::DOUBLE / count(*), 9) AS abundance FROM r LEFT JOIN q USING (w)",
 )
-_add("greedy_cluster", lambda spark, d: C.greedy_cluster(view(spark, d, "g_taxa"), ["grp"], 0.5, 4))
+_add(
+    "greedy_cluster",
+    lambda spark, d: C.greedy_cluster(view(spark, d, "g_taxa"), ["grp"], 0.5, 4).select("grp", "representative", F.explode("members").alias("idx")),
+    """WITH RECURSIVE s AS (SELECT grp, idx, seq, row_number() OVER (PARTITION BY grp ORDER BY idx) AS n,
+  list_distinct([substr(upper(seq), i, 4) FOR i IN range(1, CAST(strlen(seq) AS BIGINT) - 2)]) AS ws FROM g_taxa),
+f AS (
+  SELECT DISTINCT grp, 0::BIGINT AS n, NULL::BIGINT AS idx, NULL::VARCHAR AS representative, []::STRUCT(seq VARCHAR, ws VARCHAR[])[] AS heads FROM s
+  UNION ALL
+  SELECT grp, n, idx, CASE WHEN len(near) > 0 THEN near[1].seq ELSE seq END, CASE WHEN len(near) > 0 THEN heads ELSE list_append(heads, {'seq': seq, 'ws': ws}) END
+  FROM (SELECT s.grp, s.n, s.idx, s.seq, s.ws, f.heads,
+      list_filter(f.heads, lambda h: len(list_intersect(h.ws, s.ws))::DOUBLE / (len(h.ws) + len(s.ws) - len(list_intersect(h.ws, s.ws))) >= 0.5) AS near
+    FROM f JOIN s ON s.grp = f.grp AND s.n = f.n + 1))
+SELECT grp, representative, idx FROM f WHERE n > 0""",
+)
 
 # alignment
 _column("hamming_distance", lambda: A.hamming_distance("seq", F.reverse("seq")), "CAST(hamming(seq, reverse(seq)) AS BIGINT)")
 _column("levenshtein_distance", lambda: A.levenshtein_distance("seq", F.reverse("seq")), "levenshtein(seq, reverse(seq))", "g_proteins")
-for _name, _f in (("needleman_wunsch", OA.needleman_wunsch), ("smith_waterman", OA.smith_waterman)):
-    _add(_name, lambda spark, d, f=_f: view(spark, d, "g_proteins").select("idx", f(F.col("seq"), F.reverse("seq"), 2, -1, -2).alias("x")).select("idx", "x.*"))
-_add("banded_alignment", lambda spark, d: view(spark, d, "g_proteins").select("idx", OA.banded_alignment(F.col("seq"), F.reverse("seq"), 5, 2, -1, -2).alias("score")))
-OPS = """WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, chrom, start_, cigar, regexp_extract_all(cigar, '[0-9]*[^0-9]') AS ts FROM (SELECT DISTINCT * FROM g_frags)),
-o AS (SELECT cigar, i, right(x, 1) AS op, greatest(1, coalesce(TRY_CAST(left(x, strlen(x) - 1) AS BIGINT), 1)) AS len
-  FROM (SELECT cigar, unnest(ts) AS x, unnest(range(0, len(ts))) AS i FROM (SELECT DISTINCT cigar, ts FROM t)))"""
+#: Score matrices by anti-diagonals (lists by i, of the last two), then the way back, a step at a time.
+GRID = """WITH RECURSIVE pair AS (SELECT idx, seq AS a, reverse(seq) AS b, CAST(strlen(seq) AS BIGINT) AS n, CAST(strlen(seq) AS BIGINT) AS m FROM g_proteins),
+diagonal AS (
+  SELECT idx, a, b, n, m, 0::BIGINT AS d, [CASE WHEN i = 0 THEN 0 END FOR i IN range(0, n + 1)] AS cur, [NULL::INTEGER FOR i IN range(0, n + 1)] AS was FROM pair
+  UNION ALL
+  SELECT idx, a, b, n, m, d + 1, list_transform(range(0, n + 1), lambda i: CASE
+      WHEN i > d + 1 OR d + 1 - i > m {outside} THEN NULL
+      WHEN i = 0 OR i = d + 1 THEN {edge}
+      ELSE greatest({floor} was[i] + CASE WHEN substr(a, i, 1) = substr(b, d + 1 - i, 1) THEN 2 ELSE -1 END, cur[i] - 2, cur[i + 1] - 2) END), cur
+  FROM diagonal WHERE d < n + m)"""
+WALK = """,
+grid AS MATERIALIZED (SELECT idx, any_value(a) AS a, any_value(b) AS b, any_value(n) AS n, any_value(m) AS m, list(cur ORDER BY d) AS h FROM diagonal GROUP BY idx),
+{begin},
+walk AS (
+  SELECT idx, i, j, score, '' AS x, '' AS y FROM best
+  UNION ALL
+  SELECT idx, CASE WHEN how < 2 THEN i - 1 ELSE i END, CASE WHEN how <> 1 THEN j - 1 ELSE j END, score,
+    CASE WHEN how < 2 THEN substr(a, i, 1) ELSE '-' END || x, CASE WHEN how <> 1 THEN substr(b, j, 1) ELSE '-' END || y
+  FROM (SELECT walk.*, a, b, CASE
+      WHEN i > 0 AND j > 0 AND h[i + j + 1][i + 1] = h[i + j - 1][i] + CASE WHEN substr(a, i, 1) = substr(b, j, 1) THEN 2 ELSE -1 END THEN 0
+      WHEN i > 0 AND h[i + j + 1][i + 1] = h[i + j][i] - 2 THEN 1 ELSE 2 END AS how
+    FROM walk JOIN grid USING (idx) WHERE {go}))
+SELECT idx, x AS a, y AS b, score FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY i + j) AS r FROM walk) WHERE r = 1"""
+GLOBAL_EDGE = "CAST((d + 1) * -2 AS INTEGER)"
+BEST_CELL = """cell AS (SELECT idx, d, unnest(cur) AS score, unnest(range(0, n + 1)) AS i FROM diagonal),
+best AS (SELECT idx, i, d - i AS j, score FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY score DESC, i, d - i) AS r FROM cell WHERE score IS NOT NULL) WHERE r = 1)"""
+
+
+def _aligned(f):
+    return lambda spark, d: view(spark, d, "g_proteins").select("idx", f(F.col("seq"), F.reverse("seq"), 2, -1, -2).alias("x")).select("idx", "x.*")
+
+
+_add(
+    "needleman_wunsch",
+    _aligned(OA.needleman_wunsch),
+    GRID.format(outside="", edge=GLOBAL_EDGE, floor="") + WALK.format(begin="best AS (SELECT idx, n AS i, m AS j, h[n + m + 1][n + 1] AS score FROM grid)", go="i > 0 OR j > 0"),
+)
+_add("smith_waterman", _aligned(OA.smith_waterman), GRID.format(outside="", edge="0", floor="0,") + WALK.format(begin=BEST_CELL, go="i > 0 AND j > 0 AND h[i + j + 1][i + 1] > 0"))
+_add(
+    "banded_alignment",
+    lambda spark, d: view(spark, d, "g_proteins").select("idx", OA.banded_alignment(F.col("seq"), F.reverse("seq"), 5, 2, -1, -2).alias("score")),
+    GRID.format(outside="OR abs(2 * i - d - 1) > 5", edge=GLOBAL_EDGE, floor="") + " SELECT idx, cur[n + 1] AS score FROM diagonal WHERE d = n + m",
+)
+KEY = ["l_orderkey", "l_linenumber", "l_partkey", "start_"]
+KEYS = ", ".join(KEY)
+OPS = f"""WITH o AS (SELECT {KEYS}, cigar, i, right(x, 1) AS op, greatest(1, coalesce(TRY_CAST(left(x, strlen(x) - 1) AS BIGINT), 1)) AS len
+  FROM (SELECT {KEYS}, cigar, unnest(ts) AS x, unnest(range(0, len(ts))) AS i FROM (SELECT {KEYS}, cigar, regexp_extract_all(cigar, '[0-9]*[^0-9]') AS ts FROM g_frags)))"""
 _add(
     "parse_cigar",
-    lambda spark, d: view(spark, d, "g_frags").select("cigar").distinct().select("cigar", F.posexplode(A.parse_cigar("cigar")).alias("i", "x")).select("cigar", F.col("i").cast("long").alias("i"), "x.op", "x.len"),
-    f"{OPS} SELECT cigar, i, op, len FROM o",
+    lambda spark, d: view(spark, d, "g_frags").select(*KEY, "cigar", F.posexplode(A.parse_cigar("cigar")).alias("i", "x")).select(*KEY, "cigar", F.col("i").cast("long").alias("i"), "x.op", "x.len"),
+    f"{OPS} SELECT {KEYS}, cigar, i, op, len FROM o",
+)
+SUMS = ", ".join("CAST(coalesce(list_sum(list_transform(list_filter(ts, lambda t: right(t, 1) IN ({})), lambda t: greatest(1, coalesce(TRY_CAST(left(t, strlen(t) - 1) AS BIGINT), 1)))), 0) AS BIGINT) AS {}".format(", ".join(f"'{x}'" for x in which), n) for n, which in A.CIGAR_FIELDS.items())
+_add(
+    "cigar_stats",
+    lambda spark, d: view(spark, d, "g_frags").select(*KEY, "cigar", A.cigar_stats("cigar").alias("x")).select(*KEY, "cigar", "x.*"),
+    f"SELECT {KEYS}, cigar, {SUMS} FROM (SELECT *, regexp_extract_all(cigar, '[0-9]*[^0-9]') AS ts FROM g_frags)",
 )
-SUMS = ", ".join("CAST(coalesce(sum(len) FILTER (op IN ({})), 0) AS BIGINT) AS {}".format(", ".join(f"'{x}'" for x in which), n) for n, which in A.CIGAR_FIELDS.items())
-_add("cigar_stats", lambda spark, d: view(spark, d, "g_frags").select("cigar").distinct().select("cigar", A.cigar_stats("cigar").alias("x")).select("cigar", "x.*"), f"{OPS} SELECT cigar, {SUMS} FROM o GROUP BY cigar")
 WINDOWS = "SELECT idx, i - 1 AS pos, levenshtein(substr(seq, i, 6), 'ACGTAC') AS dist FROM (SELECT idx, seq, unnest(range(1, CAST(strlen(seq) AS BIGINT) - 4)) AS i FROM g_reads)"
 _add("primer_match", lambda spark, d: view(spark, d, "g_reads").select("idx", F.explode(A.primer_match("seq", "ACGTAC", 2)).alias("x")).select("idx", "x.*"), f"SELECT * FROM ({WINDOWS}) WHERE dist <= 2")
 _add(
@@ -277,8 +335,8 @@ _column("peptide_pi", lambda: P.peptide_pi("seq"), "7.0::DOUBLE + (strlen(transl
 _column("generate_decoy", lambda: P.generate_decoy("seq"), "reverse(seq)", "g_proteins")
 _add(
     "enumerate_missed_cleavages",
-    lambda spark, d: view(spark, d, "g_proteins").select("idx", F.explode(P.enumerate_missed_cleavages(F.left("seq", F.lit(8)))).alias("part")),
-    "WITH a AS (SELECT idx, left(seq, 8) AS s, unnest(range(1, 9)) AS n FROM g_proteins), b AS (SELECT idx, s, n, unnest(range(1, 10 - n)) AS i FROM a) SELECT idx, substr(s, i, n) AS part FROM b",
+    lambda spark, d: view(spark, d, "g_proteins").select("idx", F.explode(P.enumerate_missed_cleavages("seq")).alias("part")),
+    "WITH a AS (SELECT idx, seq, unnest(range(1, CAST(strlen(seq) AS BIGINT) + 1)) AS n FROM g_proteins), b AS (SELECT idx, seq, n, unnest(range(1, CAST(strlen(seq) AS BIGINT) + 2 - n)) AS i FROM a) SELECT idx, substr(seq, i, n) AS part FROM b",
 )
 _add(
     "enumerate_modification_sites",

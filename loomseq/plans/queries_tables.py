@@ -49,8 +49,21 @@ _add(
     """WITH b AS (SELECT DISTINCT barcode FROM g_umis), w AS (SELECT idx, left(seq, 8) AS entry FROM g_taxa)
 SELECT barcode, idx AS w_idx, entry, CAST(hamming(barcode, entry) AS BIGINT) AS distance FROM b, w WHERE hamming(barcode, entry) <= 3""",
 )
+UMI_GROUPS = """WITH RECURSIVE u AS (SELECT left(barcode, 2) AS cell, feature, umi, min(idx) AS first FROM g_umis GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY cell, feature ORDER BY first) AS n FROM u),
+f AS (
+  SELECT DISTINCT cell, feature, 0::BIGINT AS n, NULL::VARCHAR AS umi, NULL::VARCHAR AS representative, []::VARCHAR[] AS heads FROM u
+  UNION ALL
+  SELECT cell, feature, n, umi, CASE WHEN len(near) > 0 THEN near[1] ELSE umi END, CASE WHEN len(near) > 0 THEN heads ELSE list_append(heads, umi) END
+  FROM (SELECT o.cell, o.feature, o.n, o.umi, f.heads, list_filter(f.heads, lambda h: levenshtein(h, o.umi) <= 1) AS near
+    FROM f JOIN o ON o.cell = f.cell AND o.feature = f.feature AND o.n = f.n + 1))
+SELECT f.cell, f.feature, f.representative, g.idx FROM f JOIN g_umis g ON left(g.barcode, 2) = f.cell AND g.feature = f.feature AND g.umi = f.umi"""
 for _name, _f in (("umi_collapse", C.umi_collapse), ("umi_dedup", C.umi_dedup)):
-    _add(_name, lambda s, d, f=_f: f(umis(s, d).withColumn("cell", F.left("barcode", F.lit(2))), ["cell", "feature"], 1))
+    _add(
+        _name,
+        lambda s, d, f=_f: f(umis(s, d).withColumn("cell", F.left("barcode", F.lit(2))), ["cell", "feature"], 1).select("cell", "feature", "representative", F.explode("members").alias("idx")),
+        UMI_GROUPS,
+    )
 _add("count_guides", lambda s, d: M.count_guides(umis(s, d), "feature"), "SELECT feature, count(*) AS n FROM g_umis GROUP BY feature")
 
 
@@ -148,8 +161,24 @@ u AS (SELECT count(*) FILTER (is_a)::DOUBLE AS na, count(*) FILTER (NOT is_a)::D
 v AS (SELECT na, nb, least(ua, na * nb - ua) AS u FROM u)
 SELECT u AS u_statistic, round(exp(-power((u - na * nb / 2) / sqrt(na * nb * (na + nb + 1) / 12), 2) / 2) / sqrt(2 * pi()), 9) AS p_value FROM v""",
 )
-_add("permutation_test", lambda s, d: ST.permutation_test(view(s, d, "g_table").select("idx", F.col("a").cast("double").alias("value"), (F.col("d") < 3).alias("is_a")), 50))
-_add("bootstrap_ci", lambda s, d: ST.bootstrap_ci(s.read.parquet(f"{d}/supplier.parquet").select((F.row_number().over(ST.W.orderBy("s_suppkey")) - 1).cast("long").alias("idx"), F.col("s_acctbal").alias("value")), 100, 0.95))
+HASH60 = "CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)"
+_add(
+    "permutation_test",
+    lambda s, d: _by(ST.permutation_test(view(s, d, "g_table").select("idx", F.col("a").cast("double").alias("value"), (F.col("d") < 3).alias("is_a")), 50, 7, "md5_60"), ["observed_diff"], 9),
+    f"""WITH t AS (SELECT idx, a::DOUBLE AS value, d < 3 AS is_a FROM g_table),
+o AS (SELECT avg(value) FILTER (is_a) - avg(value) FILTER (NOT is_a) AS seen, count(*) FILTER (is_a) AS na FROM t),
+p AS (SELECT trial, value, row_number() OVER (PARTITION BY trial ORDER BY {HASH60.format("'7:' || trial || ':' || idx")}, idx) AS r FROM t, range(1, 51) x(trial)),
+q AS (SELECT trial, avg(value) FILTER (r <= na) - avg(value) FILTER (r > na) AS diff FROM p, o GROUP BY trial)
+SELECT round(seen, 9) AS observed_diff, count(*) FILTER (abs(diff) >= abs(seen)) / 50.0::DOUBLE AS p_value, 50::BIGINT AS n_permutations FROM q, o GROUP BY seen""",
+)
+_add(
+    "bootstrap_ci",
+    lambda s, d: _by(ST.bootstrap_ci(s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("idx"), F.col("c_acctbal").cast("double").alias("value")), 100, 0.95, 7, "md5_60"), ["mean", "ci_lower", "ci_upper"]),
+    f"""WITH c AS (SELECT c_custkey AS idx, c_acctbal::DOUBLE AS value FROM customer), n AS (SELECT count(*) AS n, avg(value) AS mean FROM c),
+x AS (SELECT trial, {HASH60.format("'7:' || trial || ':' || j")} % n AS idx FROM n, range(0, 100) t(trial), range(0, (SELECT count(*) FROM customer)) y(j)),
+m AS (SELECT trial, avg(value) AS mean, row_number() OVER (ORDER BY avg(value)) - 1 AS r FROM x JOIN c USING (idx) GROUP BY trial)
+SELECT round(n.mean, 6) AS mean, round(max(m.mean) FILTER (r = 2), 6) AS ci_lower, round(max(m.mean) FILTER (r = 97), 6) AS ci_upper, 0.95::DOUBLE AS confidence, 100::BIGINT AS n_bootstrap FROM m, n GROUP BY n.mean""",
+)
 _add(
     "fisher_exact",
     lambda s, d: view(s, d, "g_table").select("idx", F.round(R.fisher_exact("a", "b", "c", "d"), 9).alias("value")),

@@ -93,6 +93,7 @@ def with_views(sql: str) -> str:
     head = ", ".join(used)
     if not head:
         return sql
-    if sql.lstrip().upper().startswith("WITH "):
-        return f"WITH {head}, {sql.lstrip()[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if sql.lstrip().upper().startswith(start):
+            return f"{start}{head}, {sql.lstrip()[len(start):]}"
     return f"WITH {head} {sql}"
