@@ -6,28 +6,41 @@ import pytest
 
 from loomseq.operators import reads as Q
 from loomseq.operators.intervals import interval_stats, region_coverage
+from loomseq.sources import batches as B
 from loomseq.sources import text as T
 from loomseq.sources.fastq import read_fastq
 
-SEQ = "ATGCGCATATGCGCGATATAGCTAGCTAGCTAGCTAGCN"
-FASTQ = "".join(f"@read_{i}\n{SEQ}\n+\n{'I' * 38}!\n" for i in range(100))
-SAM = "@HD\tVN:1.0\n" + "".join(
+#: 40 bases, 7 of them G or C, two N; qualities of 10 at the first five bases, of 35 at the others.
+SEQ = "TTTAACCTTTAANNAATTGGATTTTAAACTTTTAAAGGTT"
+FASTQ = "".join(f"@lane4:{7 * i}\n{SEQ}\n+\n{'+' * 5}{'D' * 35}\n" for i in range(60))
+SAM = "@SQ\tSN:scafA\n" + "".join(
     "\t".join(map(str, r)) + "\n"
     for r in [
-        ("read1", 0, "chr1", 100, 60, "50M", "*", 0, 0, "A" * 49, "I" * 50, "NM:i:0"),
-        ("read2", 16, "chr1", 200, 30, "30M", "*", 0, 0, "C" * 29, "I" * 29),
-        ("read3", 4, "*", 0, 0, "*", "*", 0, 0, "ACGTAC", "IIIIII"),
-        ("read4", 0, "chr1", 150, 60, "40M", "chr2", 300, 100, "G" * 39, "I" * 41),
+        ("alpha", 16, "scafA", 1000, 40, "20M", "*", 0, 0, "T" * 20, "F" * 20, "AS:i:7"),
+        ("beta", 0, "scafA", 1010, 20, "25M", "scafB", 90, 35, "G" * 25, "F" * 25),
+        ("gamma", 4, "*", 0, 0, "*", "*", 0, 0, "CCATG", "FFFFF"),
+        ("delta", 0, "scafA", 1500, 60, "12M", "*", 0, 0, "A" * 12, "F" * 12),
+        ("eps", 1024, "scafB", 77, 0, "8M", "*", 0, 0, "C" * 8, "F" * 8),
+    ]
+)
+VCF = "##made by hand\n#CHROM\tPOS\n" + "".join(
+    "\t".join(r) + "\n"
+    for r in [
+        ("scafB", "905", "v1", "T", "C", "12.5", "q20", "AF=0.5;SOMATIC;AF=0.25"),
+        ("scafA", "31", "v2", "GGT", "G", "77", "PASS", "."),
+        ("scafA", "64", "v3", "C", "CA", "40", "PASS", "."),
+        ("scafA", "65", "v4", "A", "T", "x", "PASS", "."),
+        ("scafC", "5", "v5", "G", "A", "41", "PASS", "END=9"),
     ]
 )
-VCF = "##x\n#CHROM\tPOS\n" + "".join("\t".join(r) + "\n" for r in [("chr1", "10", "rs1", "A", "G", "30", "PASS", "DP=3;DB"), ("chr1", "20", "rs2", "AT", "A", "25", "PASS", "."), ("chr1", "30", "rs3", "G", "C", "15", "LowQual", "."), ("chr2", "40", "rs4", "C", "T", ".", "PASS", ".")])
 GTF = "\n".join(
     [
-        '#c\nchr1\tx\tgene\t100\t500\t.\t+\t.\tgene_id "GENE1"; gene_biotype "protein_coding";',
-        'chr2\tx\tgene\t1000\t2000\t.\t-\t.\tgene_id "GENE2"; gene_biotype "lncRNA";',
-        'chr1\tx\ttranscript\t100\t500\t.\t+\t.\tgene_id "GENE1"; transcript_id "TX1";',
-        'chr1\tx\texon\t100\t200\t.\t+\t.\tgene_id "GENE1"; transcript_id "TX1"; exon_id "EX1"; exon_id "EX1b";',
-        'chr1\tx\texon\t300\tbad\t.\t+\t.\tgene_id "GENE1"; transcript_id "TX1"; exon_id "EX2";',
+        '# by hand\nscafA\tm\tgene\t2000\t2600\t.\t-\t.\tgene_id "lin7"; gene_biotype "snoRNA";',
+        'scafA\tm\tgene\t2500\t4000\t.\t+\t.\tgene_id "abc1";',
+        'scafC\tm\tgene\t10\t90\t.\t+\t.\tgene_id "zip"; gene_biotype "snoRNA";',
+        'scafA\tm\ttranscript\t2000\t2600\t.\t-\t.\tgene_id "lin7"; transcript_id "lin7.a";',
+        'scafA\tm\texon\t2000\t2150\t.\t-\t.\tgene_id "lin7"; transcript_id "lin7.a"; exon_id "one"; exon_id "uno";',
+        'scafA\tm\texon\t2400\tx9\t.\t-\t.\tgene_id "lin7"; transcript_id "lin7.a"; exon_id "two";',
     ]
 )
 
@@ -50,11 +63,11 @@ def put(tmp_path):
 def test_fastq(spark, put, name, split):
     df = read_fastq(spark, put(name, "junk\n" + FASTQ + "@cut\nAC\n"), split=split)
     r = Q.fastq_stats(df).first()
-    assert (r.total_reads, r.total_bases, r.n_bases, r.min_length) == (100, 3900, 100, 39)
-    assert r.avg_qual == pytest.approx(38.974358974) and r.q30_rate == pytest.approx(38 / 39)
-    assert Q.fastq_filter(df, 39, 38).count() == 100
-    assert tuple(Q.sliding_window_filter(df, 5, 30.0).first()) == (100, 100)
-    assert len({r.header for r in df.collect()}) == 100
+    assert (r.total_reads, r.total_bases, r.n_bases, r.min_length) == (60, 2400, 120, 40)
+    assert r.avg_qual == pytest.approx((5 * 10 + 35 * 35) / 40) and r.q30_rate == pytest.approx(35 / 40) and r.gc_content == pytest.approx(7 / 40)
+    assert Q.fastq_filter(df, 40, 31).count() == 60 and Q.fastq_filter(df, 40, 32).count() == 0
+    assert tuple(Q.sliding_window_filter(df, 5, 30.0).first()) == (60, 0) and tuple(Q.sliding_window_filter(df, 10, 22.5).first()) == (60, 60)
+    assert {r.header for r in df.collect()} == {f"lane4:{7 * i}" for i in range(60)}
 
 
 def test_empty_qualities_pass(spark):
@@ -72,31 +85,44 @@ def test_quality_lines_like_headers(spark, put):
 def test_sam(spark, put):
     sam = T.read_sam(spark, put("a.sam", SAM))
     r = Q.sam_stats(sam).first()
-    assert (r.total_reads, r.mapped, r.unmapped, r.avg_mapq) == (4, 3, 1, 50.0)
-    assert Q.sam_chrom_counts(sam).collect()[0].n == 3
+    assert (r.total_reads, r.mapped, r.unmapped, r.duplicates, r.avg_mapq) == (5, 4, 1, 1, 30.0)
+    assert {r.chrom: r.n for r in Q.sam_chrom_counts(sam).collect()} == {"scafA": 3, "scafB": 1}
     assert tuple(Q.insert_size_stats(sam).first()) == (0, 0.0, 0, 0, 0)
-    assert sam.where("qname = 'read1'").first().tags == {"NM": "0"}
-    assert Q.coverage_at_position(sam, "chr1", 160).first().depth == 1
-    assert region_coverage(Q.sam_spans(sam), "chr1", 148, 152).orderBy("pos").collect()[0].depth == 1
-    assert T.sam_to_tsv(spark, put("b.sam", SAM)).count() == 4
+    assert sam.where("qname = 'alpha'").first().tags == {"AS": "7"}
+    assert [Q.coverage_at_position(sam, "scafA", p).first().depth for p in (999, 1005, 1015, 1020, 1035)] == [0, 1, 2, 1, 0]
+    assert [r.depth for r in region_coverage(Q.sam_spans(sam), "scafA", 1008, 1012).orderBy("pos").collect()] == [1, 1, 2, 2]
+    assert T.sam_to_tsv(spark, put("b.sam", SAM)).count() == 5
 
 
 def test_vcf_gtf_bed(spark, put):
     vcf = T.read_vcf(spark, put("a.vcf", VCF))
-    assert tuple(Q.vcf_stats(vcf).first()) == (4, 3, 1)
-    assert [r.id for r in Q.vcf_filter(vcf, 25).orderBy("pos").collect()] == ["rs1", "rs2"]
-    assert vcf.where("id = 'rs1'").first().info == {"DP": "3", "DB": "true"}
+    assert tuple(Q.vcf_stats(vcf).first()) == (5, 3, 2)
+    assert [r.id for r in Q.vcf_filter(vcf, 40).orderBy("id").collect()] == ["v2", "v3", "v5"]
+    assert vcf.where("id = 'v1'").first().info == {"AF": "0.25", "SOMATIC": "true"}
     gtf = T.read_gtf(spark, put("a.gtf", GTF))
-    assert tuple(Q.gtf_stats(gtf).first()) == (2, 1)
-    assert gtf.where("feature = 'exon'").orderBy("start_").collect()[0].attributes["exon_id"] == "EX1b"
-    assert {r.biotype: r.n for r in Q.gene_biotype_stats(gtf).collect()} == {"protein_coding": 1, "lncRNA": 1}
-    assert Q.transcript_length_stats(gtf).first().length == 100 - 300
-    reads = spark.createDataFrame([("chr1", 100), ("chr1", 499), ("chr1", 500), ("chr2", 1500)], "chrom string, pos long")
-    assert {r.gene_id: r.n for r in Q.gene_count_matrix(gtf, reads).collect()} == {"GENE1": 2, "GENE2": 1}
-    assert T.gtf_to_bed(spark, put("b.gtf", GTF), "gene", zero_based=True).orderBy("chrom").first().start_ == 99
-    bed = T.read_bed(spark, put("a.bed.gz", "track x\nchr1\t100\t500\tpeak1\t5\t+\nchr1\t800\t1200\n\nchr2\tx\t600\tp\n"))
-    assert interval_stats(bed).first().total_bases == 400 + 400 + 600
-    assert bed.where("start_ = 800").first().name == "."
+    assert tuple(Q.gtf_stats(gtf).first()) == (3, 1)
+    assert gtf.where("feature = 'exon'").orderBy("start_").collect()[0].attributes["exon_id"] == "uno"
+    assert {r.biotype: r.n for r in Q.gene_biotype_stats(gtf).collect()} == {"snoRNA": 2, "unknown": 1}
+    assert Q.transcript_length_stats(gtf).first().length == (2150 - 2000) + (0 - 2400)  # what is no number is 0
+    reads = spark.createDataFrame([("scafA", 2000), ("scafA", 2550), ("scafA", 2600), ("scafA", 4000), ("scafC", 89), ("scafB", 50)], "chrom string, pos long")
+    assert {r.gene_id: r.n for r in Q.gene_count_matrix(gtf, reads).collect()} == {"lin7": 2, "abc1": 2, "zip": 1}
+    assert T.gtf_to_bed(spark, put("b.gtf", GTF), "gene", zero_based=True).orderBy("start_").first().start_ == 9
+    bed = T.read_bed(spark, put("a.bed.gz", "browser hide all\nscafA\t7\t19\thill\t3\t-\nscafA\t40\t44\n\nscafD\tq\t25\tz\n"))
+    assert interval_stats(bed).first().total_bases == 12 + 4 + 25
+    assert bed.where("start_ = 40").first().name == "."
+
+
+def test_batches(spark, put, tmp_path):
+    a, b = put("x.fq", FASTQ), put("y.fq.gz", FASTQ[: len(FASTQ) // 2])
+    out = {r.input: r.kept for r in B.batch_fastq_filter(spark, {a: "first", b: "second"}, str(tmp_path / "out"), 40, 31.0).collect()}
+    assert out["first"] == 60 and 28 <= out["second"] <= 30
+    assert {r.input: r.kept for r in B.batch_fastq_filter(spark, {a: "first"}, str(tmp_path / "none"), 41, 0.0).collect()} == {"first": 0}
+    fasta = B.parallel_parse_fasta(spark, [put("k.fa", ">p\nGG\n"), "/nowhere/k.fa", put("l.fa", ">q\nTT\n>r\nA\n")])
+    assert sorted((r.header, r.seq) for r in fasta.collect()) == [("p", "GG"), ("q", "TT"), ("r", "A")]
+    left = put("left.bed", "c1\t0\t10\tl1\nc1\t100\t90000\tl2\nc2\t5\t9\tl3\n")
+    rows = B.parallel_bed_intersect(spark, left, [put("r1.bed", "c1\t9\t101\tm1\nc2\t9\t12\tm2\n"), "/nowhere/r.bed", put("r2.bed", "c2\t0\t6\tm3\n")])
+    assert sorted((r.a_name, r.b_name, r.start_, r.end_) for r in rows.collect()) == [("l1", "m1", 9, 10), ("l2", "m1", 100, 101), ("l3", "m3", 5, 6)]
+    assert B.parallel_bed_intersect(spark, left, ["/nowhere/r.bed"]).count() == 0
 
 
 def test_fasta_and_matrix(spark, put):
