@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_path, settled  # noqa: F401  the operators' own way to these
+
 #: A word of the contracts: a run of anything but space and \x09-\x0D.
 #: Python's bytes.split() without arguments cuts at exactly these six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,31 +20,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Only where the session names none, as in tests, is a local one made.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if found is None and current.isDefined():
-        found = current.get()
-    if found is None:
-        found = tempfile.mkdtemp(prefix="loomseq-")
-    if not current.isDefined():
-        sc.setCheckpointDir(found)
-    return found
+def shared_path(spark: SparkSession, what: str) -> str:
+    return scratch_path(spark, what)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder; cuts the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes what is there, if anything is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def shared_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+def row_key(df: DataFrame, columns: list[str]) -> list[F.Column]:
+    """Two numbers (k1, k2), never null, that are equal for rows equal in these columns, and differ for others."""
+    parts = [F.lit(0)]
+    for c in columns:
+        kind = df.schema[c].dataType.simpleString()
+        value = F.col(f"`{c}`")
+        # a hash skips nulls, also those within, so their places go in too
+        whole = F.to_json(F.struct(value), {"ignoreNullFields": "false"}) if "<" in kind else value
+        parts += [value.isNull(), whole]
+    return [F.xxhash64(F.lit(i), *parts).alias(f"k{i}") for i in (1, 2)]
 
 
 def n_words(text) -> F.Column:
@@ -66,16 +63,35 @@ def byte_rows(column) -> list:
     return column.cast(pa.binary()).to_pylist()
 
 
-_held: dict = {}
+#: Bytes of a batch that are turned to Python objects at once, if it has more than one row.
+SLICE_BYTES = 1 << 20
 
 
-def held(name, make):
-    """make(), kept in this Python worker under name; what another name had kept is dropped.
+def slices(batch, size: int = SLICE_BYTES):
+    """A record batch in parts of about size bytes, one row at least, so that few Python objects live at once."""
+    rows = max(1, int(batch.num_rows * size / max(batch.nbytes, 1)))
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
 
-    Workers live on from stage to stage, and only one operator's models or
-    caches should stay in their memory.
+
+@contextmanager
+def held(make):
+    """make() for the time of a task; then its memory goes back to the system.
+
+    Python workers live on from stage to stage, several to an executor, and
+    what a past task has kept is memory that other tasks lack.
     """
-    if name not in _held:
-        _held.clear()
-        _held[name] = make()
-    return _held[name]
+    import gc
+
+    import pyarrow as pa
+
+    found = [make()]
+    try:
+        yield found[0]
+    finally:
+        found.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)

@@ -59,14 +59,15 @@ WITH line AS (
   FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
 hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM line),
 rolled AS (
-  SELECT *, (lag(h, 2) OVER w * 66049 + lag(h) OVER w * 257 + h) % 1000003 AS r
+  SELECT *, (h * 257 + lead(h) OVER w) % 1000003 AS r
   FROM hashed WINDOW w AS (PARTITION BY rid ORDER BY i)),
-marked AS (SELECT *, i >= 3 AND r % 3 = 0 AS c FROM rolled),
-ended AS (SELECT *, i < n - 1 AND c AND NOT coalesce(lag(c) OVER (PARTITION BY rid ORDER BY i), false) AS last FROM marked),
+begun AS (
+  SELECT *, i >= 3 AND i < n AND r < lag(r) OVER w AND r < coalesce(lead(r) OVER w, 1000003) AS begins
+  FROM rolled WINDOW w AS (PARTITION BY rid ORDER BY i)),
 numbered AS (
-  SELECT *, 1 + coalesce(sum(CASE WHEN last THEN 1 ELSE 0 END)
-    OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS j
-  FROM ended),
+  SELECT *, 1 + sum(CASE WHEN begins THEN 1 ELSE 0 END)
+    OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS j
+  FROM begun),
 chunk AS (
   SELECT rid, doc_id, j, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n,
          count(*) FILTER (regexp_matches(line, '\S')) >= 2 AS eligible
