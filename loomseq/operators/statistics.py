@@ -91,8 +91,10 @@ def _ranked(df: DataFrame, by: list[str], value: str, tie: str) -> DataFrame:
     together with the row, so it tells them apart.
     """
     cuts, common = _cuts(df, value)
-    rows = _celled(df, value, cuts, "cell_").withColumn("sub_", F.lit(0.0))
-    if common:
+    rows = _celled(df, value, cuts, "cell_")
+    if not common:
+        rows = rows.withColumn("sub_", F.lit(0.0))
+    else:
         # a common value begins its cell; what is above it in there comes after it
         hot = F.col(value).cast("double").isin(common)
         rows = _celled(rows, tie, _cuts(df, tie)[0], "sub_").withColumns({"cell_": 2 * F.col("cell_") + F.when(hot, 0).otherwise(1), "sub_": F.when(hot, F.col("sub_")).otherwise(0.0)})

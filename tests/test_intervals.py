@@ -28,7 +28,7 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("width", [37, 1000])
+@pytest.mark.parametrize("width", [1, 37, 1000])
 def test_overlap(tables, width):
     a, b, x, y = tables
     want = sorted((p[0], q[0]) for p in a for q in b if p[1] == q[1] and p[2] < q[3] and q[2] < p[3])

@@ -89,6 +89,119 @@ def test_alignments():
         assert s == _plain(a, b, 2, -1, -2) and x.replace("-", "") == a and y.replace("-", "") == b
         assert A.align_local(a, b, 2, -1, -2)[2] == _plain(a, b, 2, -1, -2, True)
         assert A.score_banded(a, b, 14, 2, -1, -2) == s
+    pairs = [tuple("".join(r.choice("ACGT") for _ in range(r.randrange(n, n + 4))) for _ in range(2)) for n in range(0, 20) for _ in range(3)]
+    for band in (3, 5):
+        want = []
+        for a, b in pairs:
+            h = {}
+            for i in range(len(a) + 1):
+                for j in range(max(0, i - band), min(len(b), i + band) + 1):
+                    steps = [h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1)] if i and j else []
+                    steps += [h[k] - 2 for k in ((i - 1, j), (i, j - 1)) if k in h]
+                    h[i, j] = max(steps, default=0)
+            want.append(h[len(a), len(b)])
+        assert A.scored_banded(pairs, band, 2, -1, -2) == want
+
+
+def test_places_of_skewed_values(spark):
+    r = random.Random(41)
+    rows = [(r.choice("gh"), r.choice([1.0, 1.0, 1.0, r.random(), 1e300, -5.0])) for _ in range(5000)] + [("h", None), ("one", 3.0)]
+    df = spark.createDataFrame(rows, "g string, value double").where("value is not null")
+    by = {}
+    for g, v in rows:
+        if v is not None:
+            by.setdefault(g, []).append(v)
+    for x in S.descriptive_stats(df, ["g"]).collect():
+        v = sorted(by[x.g])
+        n = len(v)
+        assert (x["count"], x.min, x.max, x.q1, x.q3) == (n, v[0], v[-1], v[n // 4], v[3 * n // 4]) and x.median == (v[(n - 1) // 2] + v[n // 2]) / 2
+    assert S.descriptive_stats(df.limit(0), ["g"]).count() == 0
+
+
+def test_ranks_of_skewed_values(spark):
+    r = random.Random(42)
+    ps = [r.choice([1.0, 1.0, 0.05, r.random(), r.random() / 1000]) for _ in range(4000)]
+    df = spark.createDataFrame([(3 * i, p, i % 3 == 0) for i, p in enumerate(ps)], "idx long, value double, is_a boolean")
+    order = sorted(range(len(ps)), key=lambda i: (ps[i], i))
+    q = {i: ps[i] * len(ps) / (k + 1) for k, i in enumerate(order)}
+    for method, ranks in (("prefix", order), ("standard", order[::-1])):
+        want, least = {}, 1.0
+        for i in ranks:
+            least = min(least, q[i])
+            want[3 * i] = least
+        assert {x.idx: x.q for x in S.bh_correction(df, method).collect()} == pytest.approx(want)
+    place = {i: k + 1 for k, i in enumerate(sorted(range(len(ps)), key=lambda i: (ps[i], i % 3 != 0, i)))}
+    na = sum(i % 3 == 0 for i in range(len(ps)))
+    ua = sum(place[i] for i in range(len(ps)) if i % 3 == 0) - na * (na + 1) / 2
+    assert S.mann_whitney_u(df).first().u_statistic == min(ua, na * (len(ps) - na) - ua)
+
+
+def test_rolling_windows(spark, monkeypatch):
+    import statistics
+
+    monkeypatch.setattr(S, "BLOCK", 16)
+    r = random.Random(43)
+    rows = [(g, i * i, float(r.randrange(4)), r.random()) for g, n in (("a", 300), ("b", 5), ("c", 2)) for i in range(n)] + [("d", i, 1.0, float(i)) for i in range(9)]
+    got = {(x.g, x.idx): x.r for x in S.rolling_correlation(spark.createDataFrame(rows, "g string, idx long, x double, y double"), ["g"], 3).collect()}
+    want = {}
+    for g in "abcd":
+        own = [x for x in rows if x[0] == g]
+        for i in range(len(own) - 2):
+            xs, ys = [x[2] for x in own[i : i + 3]], [x[3] for x in own[i : i + 3]]
+            want[g, own[i][1]] = statistics.correlation(xs, ys) if len(set(xs)) > 1 else 0.0
+    assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_permutations_against_sorting(spark):
+    r = random.Random(44)
+    rows = [(i, float(r.randrange(20)), i % 4 == 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "idx long, value double, is_a boolean")
+    hashed = spark.range(1, 31).join(df).select(F.col("id").alias("trial"), "idx", "value", S._drawn("xxhash64", 5, F.col("id").cast("int"), F.col("idx")).alias("h")).collect()
+    seen = sum(v for _, v, a in rows if a) / 100 - sum(v for _, v, a in rows if not a) / 300
+    hits = 0
+    for t in range(1, 31):
+        own = [x.value for x in sorted((x for x in hashed if x.trial == t), key=lambda x: x.h)]
+        hits += abs(sum(own[:100]) / 100 - sum(own[100:]) / 300) >= abs(seen)
+    got = S.permutation_test(df, 30, 5).first()
+    assert got.observed_diff == pytest.approx(seen) and got.p_value == hits / 30
+
+
+def test_clusters_against_plain_folds(spark):
+    r = random.Random(45)
+
+    def edits(a, c):
+        d = list(range(len(c) + 1))
+        for i, x in enumerate(a, 1):
+            last, d[0] = d[0], i
+            for j, y in enumerate(c, 1):
+                last, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, last + (x != y))
+        return d[-1]
+
+    def folded(items, near):
+        heads = []
+        for idx, x in items:
+            hit = next((h for h in heads if near(h[0], x)), None)
+            if hit:
+                hit[1].append(idx)
+            else:
+                heads.append((x, [idx]))
+        return sorted((h, m) for h, m in heads)
+
+    rows = [(g, i, "".join(r.choice("ACGT") for _ in range(r.choice([4, 5, 6])))) for i, g in enumerate(r.choice("xy") for _ in range(160))]
+    df = spark.createDataFrame([*rows, ("x", 999, None)], "g string, idx long, umi string")
+    for most in (0, 1, 2):
+        got = C.umi_collapse(df, ["g"], most).collect()
+        for g in "xy":
+            assert sorted((x.representative, x.members) for x in got if x.g == g) == folded([(i, u) for h, i, u in rows if h == g], lambda a, b: edits(a, b) <= most)
+    words = lambda s: {s[i : i + 2] for i in range(len(s) - 1)}
+    seqs = [(g, i, u + r.choice(["", "A", u[:2]])) for g, i, u in rows] + [("x", 500, "A"), ("x", 501, "A")]
+    df = spark.createDataFrame(seqs, "g string, idx long, seq string")
+    for least in (0.3, 0.6):
+        got = C.greedy_cluster(df, ["g"], least, 2).collect()
+        for g in "xy":
+            want = folded([(i, s) for h, i, s in seqs if h == g], lambda a, b: bool(words(a) & words(b)) and len(words(a) & words(b)) / len(words(a) | words(b)) >= least)
+            assert sorted((x.representative, x.members) for x in got if x.g == g) == want
+    assert len(C.greedy_cluster(df, ["g"], 0.0, 2).collect()) == 2
 
 
 def test_barcodes(spark):
