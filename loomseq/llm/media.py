@@ -2,8 +2,9 @@
 
 Images are binary columns. Netpbm of all six plain and raw kinds and
 uncompressed BMP of 8, 24 and 32 bits are decoded to arrays (rows, columns,
-channels). A resize takes means over areas by one integral image, with exact
-weights for pixels that an area cuts. Tiles are NPY files in a column.
+channels). A resize takes means over areas by an integral image, of which a
+strip is made at a time, with exact weights for pixels that an area cuts.
+Tiles are NPY files in a column, and hashes compare neighbours in a tile.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows
+from .common import byte_rows, shared_path, slices
 
-#: Width of the images that hold payloads; rows and columns of a tile.
-WIDTH, TILE = 64, (8, 9)
+#: Width of the images that hold payloads; rows and columns of a tile; rows of an image that are summed at once.
+WIDTH, TILE, STRIP = 64, (8, 9), 1 << 14
 
 
 def encode_pgm(samples: np.ndarray) -> bytes:
@@ -98,20 +99,37 @@ def decode(data: bytes) -> np.ndarray:
     raise ValueError("neither Netpbm nor BMP")
 
 
+def integral_rows(image: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Rows of the integral image of a two-dimensional image of whole numbers, which is made STRIP rows at a time."""
+    h, w = image.shape
+    out, above = np.zeros((len(wanted), w + 1), np.int64), np.zeros(w + 1, np.int64)
+    for start in range(0, h, STRIP):
+        sums = np.cumsum(image[start : start + STRIP], axis=0, dtype=np.int64)
+        np.cumsum(sums, axis=1, out=sums)
+        sums += above[1:]
+        here = np.flatnonzero((wanted > start) & (wanted <= start + len(sums)))
+        out[here, 1:] = sums[wanted[here] - start - 1]
+        above[1:] = sums[-1]
+    return out
+
+
 def area_resize(image: np.ndarray, rows: int, columns: int) -> np.ndarray:
-    """Means of a two-dimensional image over rows x columns areas of equal size, as floats."""
+    """Means of a two-dimensional image over rows x columns areas of equal size.
+
+    Sums are whole numbers, in parts of a pixel, so only the last division rounds.
+    """
     h, w = image.shape
-    sums = np.zeros((h + 1, w + 1))
-    np.cumsum(image, axis=0, dtype=np.float64, out=sums[1:, 1:])
-    np.cumsum(sums[1:, 1:], axis=1, out=sums[1:, 1:])
 
-    def cut(x: np.ndarray, n: int, parts: int) -> np.ndarray:
-        at = np.arange(parts + 1) * n / parts
-        low = np.minimum(at.astype(np.int64), n)
-        return x[low] + (x[np.minimum(low + 1, n)] - x[low]) * (at - low)[:, None]
+    def places(n: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.arange(parts + 1) * n
+        return at // parts, np.minimum(at // parts + 1, n), at % parts
 
-    part = cut(cut(sums, h, rows).T, w, columns).T
-    return np.diff(np.diff(part, axis=0), axis=1) / (h / rows * (w / columns))
+    low, high, part = places(h, rows)
+    lines = integral_rows(image, np.concatenate([low, high]))
+    lines = lines[: rows + 1] * rows + (lines[rows + 1 :] - lines[: rows + 1]) * part[:, None]
+    low, high, part = places(w, columns)
+    cells = lines[:, low] * columns + (lines[:, high] - lines[:, low]) * part
+    return np.diff(np.diff(cells, axis=0), axis=1) / (h * w)
 
 
 def difference_hash(tile: np.ndarray) -> str:
@@ -121,15 +139,14 @@ def difference_hash(tile: np.ndarray) -> str:
 
 def npy(tile: np.ndarray) -> bytes:
     out = io.BytesIO()
-    np.save(out, tile)
+    np.save(out, np.ascontiguousarray(tile))
     return out.getvalue()
 
 
 def _stored(batches, form: str):
     put = {"pgm": encode_pgm, "bmp": encode_bmp}[form]
-    for b in batches:
-        for i in range(0, b.num_rows, 1000):
-            part = b.slice(i, 1000)
+    for batch in batches:
+        for part in slices(batch):
             texts = [t or b"" for t in byte_rows(part.column(1))]
             padded = [t + bytes(-len(t) % WIDTH or (0 if t else WIDTH)) for t in texts]
             media = [put(np.frombuffer(p, np.uint8).reshape(-1, WIDTH)) for p in padded]
@@ -137,17 +154,16 @@ def _stored(batches, form: str):
 
 
 def _read(batches):
-    for b in batches:
-        out = []
-        for data in byte_rows(b.column("media")):
-            image = decode(data)
-            payload = image.tobytes()
-            tile = area_resize(image[:, :, 0], *TILE)
-            small = np.clip(np.rint(tile), 0, 255).astype(np.uint8)
-            out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(tile), npy(small)))
-        cols = list(zip(*out)) or [[]] * 7
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(list(c), k) for c, k in zip(cols, kinds)]], ["doc_id", "n_bytes", *MEASURES])
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+    for batch in batches:
+        for b in slices(batch):
+            out = []
+            for data in byte_rows(b.column("media")):
+                image = decode(data)
+                payload = image.tobytes()
+                tile = np.clip(np.rint(area_resize(image[:, :, 0], *TILE)), 0, 255).astype(np.uint8)
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(tile), npy(tile)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(list(c), k) for c, k in zip(zip(*out), kinds)]], ["doc_id", "n_bytes", *MEASURES])
 
 
 MEASURES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"]
@@ -157,6 +173,8 @@ def store_texts(docs: DataFrame, form: str = "pgm") -> DataFrame:
     """(doc_id, n_bytes, media): each whole text's bytes as the samples of a grey image 64 wide.
 
     Zero bytes fill the last row; a null or empty text is one row of zeros.
+    Very long texts are tall images. Repeated rows and ids stay rows of their
+    own, other columns go, and an empty table gives an empty one.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
@@ -164,11 +182,18 @@ def store_texts(docs: DataFrame, form: str = "pgm") -> DataFrame:
 
 
 def measure(media: DataFrame) -> DataFrame:
-    """Digests, an NPY tile and its difference hash, from the stored bytes of (doc_id, n_bytes, media)."""
+    """Digests, an NPY tile (uint8, TILE) and its difference hash, from the bytes of (doc_id, n_bytes, media).
+
+    Equal media have equal measures; where neighbours of a tile tie, the bit is 0.
+    """
     kind = dict(media.dtypes)["doc_id"]
     schema = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_read, f"doc_id {kind}, n_bytes long, {schema}")
 
 
 def op7_media_netpbm(docs: DataFrame) -> DataFrame:
-    return measure(store_texts(docs)).drop("tile")
+    """The media are written as a table in the shared folder and read back."""
+    spark = docs.sparkSession
+    path = shared_path(spark, "media")
+    store_texts(docs).write.option("compression", "zstd").parquet(path)
+    return measure(spark.read.parquet(path)).withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")
