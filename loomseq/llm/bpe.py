@@ -21,10 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held
+from .common import held, slices
 
-#: Pre-tokens of a generation kept with their ids, in each Python worker; the longest kept.
-KEPT, KEPT_LENGTH = 500_000, 64
+#: Pre-tokens of a generation kept with their ids during a task (about 20 MB); the longest kept, in characters.
+KEPT, KEPT_LENGTH = 100_000, 64
 
 
 def merge_ranks(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -133,36 +133,38 @@ class Tokenizer:
         return b"".join(map(get, ids))
 
 
-def tokenizer(path: str, pattern: str) -> Tokenizer:
-    return held((path, pattern), lambda: Tokenizer(path, pattern))
+def _parts(batches, path: str, pattern: str):
+    """The tokenizer with each part of each batch; what it has kept goes when the task ends."""
+    with held(lambda: Tokenizer(path, pattern)) as t:
+        for batch in batches:
+            for part in slices(batch):
+                yield t, part
 
 
 def _encoded(batches, path: str, pattern: str):
-    t = tokenizer(path, pattern)
-    for batch in batches:
-        ids = [t.encode(x or "") for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+    for t, part in _parts(batches, path, pattern):
+        ids = [t.encode(x or "") for x in part.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
 
 def _decoded(batches, path: str, pattern: str):
-    t = tokenizer(path, pattern)
-    for batch in batches:
-        found = [None if x is None else t.decode(x) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "bytes"])
+    for t, part in _parts(batches, path, pattern):
+        found = [None if x is None else t.decode(x) for x in part.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["doc_id", "bytes"])
 
 
 def _digests(batches, path: str, pattern: str):
-    t = tokenizer(path, pattern)
-    sha, decimal = hashlib.sha256, t.decimal.__getitem__
-    for batch in batches:
+    sha = hashlib.sha256
+    for t, part in _parts(batches, path, pattern):
+        decimal = t.decimal.__getitem__
         counts, of_ids, of_bytes = [], [], []
-        for x in batch.column(1).to_pylist():
+        for x in part.column(1).to_pylist():
             ids = t.encode(x or "")
             counts.append(len(ids))
             of_ids.append(sha(" ".join(map(decimal, ids)).encode()).hexdigest())
             of_bytes.append(sha(t.decode(ids)).hexdigest())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            [part.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         )
 
 
@@ -172,7 +174,12 @@ def _rows(docs: DataFrame, col: str, kind: str) -> tuple[DataFrame, str]:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array): every whole text's token ids; null as empty."""
+    """(doc_id, ids array): every whole text's token ids; null and empty texts have none.
+
+    Texts of any length are encoded whole, each pre-token in O(n log n).
+    Repeated rows and ids stay rows of their own; other columns go, whatever
+    their names; an empty table gives an empty one.
+    """
     rows, kind = _rows(docs, text_col, "string")
     return rows.mapInArrow(partial(_encoded, path=path, pattern=pattern), f"doc_id {kind}, ids array<int>")
 
@@ -188,6 +195,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text")
 
     Encodes and decodes in one pass, so the ids (several times the text in
     rows) never leave the worker. Null is the empty text: no ids, empty bytes.
+    Rows and columns are treated as by encode.
     """
     rows, kind = _rows(docs, text_col, "string")
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -9,15 +9,14 @@ posterior over words with letters, which is the score.
 Training texts are monolingual, so training sequences are made code-switched:
 pieces of texts of different languages, end to end, with each piece's language
 as the gold label of its words. Training uses a bounded sample of labelled
-rows (SAMPLE rows a label, SLICE characters of each, from a seeded place);
-prediction reads every whole text.
+rows, SAMPLE whole texts a label, and every word of them; prediction reads
+every whole text.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +24,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, mix64
+from .common import held, mix64, settled, slices
 
-#: The bound of the labelled sample: rows per label, characters per row.
-SAMPLE, SLICE = 400, 1500
+#: The bound of the labelled sample: rows per label. Rows that are broadcast at most.
+SAMPLE, BROADCAST_ROWS = 400, 200_000
 #: Hashed weight rows, the words of a training sequence, and of one piece in it.
-ROWS, LENGTH, PIECE = 1 << 16, 48, 12
-STEPS, RATE, DECAY = 60, 0.35, 1e-4
+ROWS, LENGTH, PIECE = 1 << 16, 48, 16
+#: Passes over the sample, sequences of a step.
+PASSES, AT_ONCE, RATE, DECAY = 6, 1024, 0.35, 1e-4
 SEED = 42
-#: Words kept with their scores in each Python worker; characters of texts worked on at once.
-WORDS_KEPT, CHARS_AT_ONCE = 500_000, 1_500_000
+#: Words kept with their scores during a task; characters of texts worked on at once.
+WORDS_KEPT, CHARS_AT_ONCE, BYTES_AT_ONCE = 100_000, 1_500_000, 1 << 22
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 AROUND = ".,;:!?\"'()[]|"
@@ -116,73 +116,81 @@ def posteriors(scores: np.ndarray, steps: np.ndarray, starts: np.ndarray, length
     return ahead[place]
 
 
-def train(texts: list[tuple[str, str]], labels: list[str], steps: int = STEPS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (ROWS, labels) and transitions (labels, labels) from (text, label) rows."""
+def train(texts: list[tuple[str, str]], labels: list[str], passes: int = PASSES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (ROWS, labels) and transitions (labels, labels) from all words of (text, label) rows.
+
+    All pieces of PIECE words are laid end to end in a seeded order and cut
+    into sequences of LENGTH (the last one begins earlier, so as to be full),
+    so languages change within them. Each pass takes all sequences, AT_ONCE a
+    step, in another order.
+    """
     rng = np.random.default_rng(seed)
     k = len(labels)
-    pieces = [[] for _ in labels]
-    for text, label in texts:
-        words = text.split()
-        pieces[labels.index(label)] += [words[i : i + PIECE] for i in range(0, len(words), PIECE)]
-    pool = [(y, p) for y, ps in enumerate(pieces) for p in ps if p]
     weights, moves = np.zeros((ROWS, k)), np.zeros((k, k))
-    if not pool:
-        return weights, moves
-    # languages change about every second piece
-    by_label = [[p for y, p in pool if y == i] for i in range(k)]
-    some = [i for i in range(k) if by_label[i]]
-    sequences = []
-    total = max(64, min(1500, sum(len(p) for _, p in pool) // LENGTH))
-    for _ in range(total):
-        words, gold, y = [], [], int(rng.choice(some))
-        while len(words) < LENGTH:
-            p = by_label[y][int(rng.integers(len(by_label[y])))]
-            words += p
-            gold += [y] * len(p)
-            if rng.random() < 0.5:
-                y = int(rng.choice(some))
-        sequences.append((words[:LENGTH], gold[:LENGTH]))
     known: dict[str, int] = {}
-    tokens = np.array([[known.setdefault(w, len(known)) for w in ws] for ws, _ in sequences])
-    gold = np.array([g for _, g in sequences])
+    pieces = []
+    for text, label in texts:
+        words = np.array([known.setdefault(w, len(known)) for w in text.split()], np.int64)
+        y = labels.index(label)
+        pieces += [(words[i : i + PIECE], y) for i in range(0, len(words), PIECE)]
+    if not pieces:
+        return weights, moves
+    pieces = [pieces[i] for i in rng.permutation(len(pieces))]
+    words, gold = np.concatenate([p for p, _ in pieces]), np.repeat([y for _, y in pieces], [len(p) for p, _ in pieces])
+    length = min(LENGTH, len(words))
+    starts = np.arange(0, len(words), length)
+    starts[-1] = len(words) - length
+    at = starts[:, None] + np.arange(length)
+    words, gold = words[at], gold[at]
     rows, of, _ = features(list(known))
-    starts, lengths = np.arange(total) * LENGTH, np.full(total, LENGTH)
-    t, g = tokens.ravel(), gold.ravel()
-    hit = np.zeros((len(t), k))
-    hit[np.arange(len(t)), g] = 1
-    pairs = np.zeros((k, k))
-    np.add.at(pairs, (gold[:, :-1].ravel(), gold[:, 1:].ravel()), 1)
-    inner = np.flatnonzero(np.arange(len(t)) % LENGTH != LENGTH - 1)
+    order = np.argsort(of, kind="stable")
+    rows, of = rows[order], of[order]
+    ends = np.searchsorted(of, np.arange(len(known) + 1))
     seen_w, seen_m = np.full((ROWS, k), 1e-8), np.full((k, k), 1e-8)
-    for _ in range(steps):
-        scores = word_scores(weights, rows, of, len(known))[t]
-        p = posteriors(scores, moves, starts, lengths)
-        # expected transitions, from neighbouring posteriors through the local potentials
-        emit = np.exp(scores - scores.max(axis=1, keepdims=True))
-        ahead, back = _both(emit, np.exp(moves - moves.max()), total)
-        joint = ahead[inner][:, :, None] * np.exp(moves - moves.max())[None] * (emit * back)[inner + 1][:, None, :]
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
-        slope_words = np.stack([np.bincount(t, (hit - p)[:, y], len(known)) for y in range(k)], axis=1)
-        slope = np.stack([np.bincount(rows, slope_words[of, y], ROWS) for y in range(k)], axis=1) / len(t) - DECAY * weights / len(t)
-        slope_m = (pairs - joint.sum(axis=0)) / len(t)
-        seen_w += slope**2
-        seen_m += slope_m**2
-        weights += RATE * slope / np.sqrt(seen_w)
-        moves += RATE * slope_m / np.sqrt(seen_m)
+    for _ in range(passes):
+        mixed = rng.permutation(len(words))
+        for i in range(0, len(mixed), AT_ONCE):
+            some = mixed[i : i + AT_ONCE]
+            # the words of this step, and their features
+            distinct, t = np.unique(words[some], return_inverse=True)
+            t, g = t.reshape(-1), gold[some].reshape(-1)
+            sizes = ends[distinct + 1] - ends[distinct]
+            own = np.repeat(ends[distinct], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            r, o = rows[own], np.repeat(np.arange(len(distinct)), sizes)
+            slope_w, slope_m = _slopes(word_scores(weights, r, o, len(distinct))[t], moves, g.reshape(len(some), length))
+            by_word = np.stack([np.bincount(t, slope_w[:, y], len(distinct)) for y in range(k)], axis=1)
+            slope_w = np.stack([np.bincount(r, by_word[o, y], ROWS) for y in range(k)], axis=1) / len(t) - DECAY * weights / len(t)
+            slope_m /= len(t)
+            seen_w += slope_w**2
+            seen_m += slope_m**2
+            weights += RATE * slope_w / np.sqrt(seen_w)
+            moves += RATE * slope_m / np.sqrt(seen_m)
     return weights, moves
 
 
-def _both(emit: np.ndarray, move: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward and backward values of equally long sequences."""
-    e = emit.reshape(total, LENGTH, -1)
-    ahead, back = np.empty_like(e), np.ones_like(e)
-    for t in range(LENGTH):
-        a = e[:, t] if t == 0 else (ahead[:, t - 1] @ move) * e[:, t]
+def _slopes(scores: np.ndarray, moves: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the log likelihood of gold (sequences, length): by word and label, and by transition."""
+    total, length = gold.shape
+    k = len(moves)
+    emit = np.exp(scores - scores.max(axis=1, keepdims=True)).reshape(total, length, k)
+    move = np.exp(moves - moves.max())
+    ahead, back = np.empty_like(emit), np.ones_like(emit)
+    for t in range(length):
+        a = emit[:, t] if t == 0 else (ahead[:, t - 1] @ move) * emit[:, t]
         ahead[:, t] = a / a.sum(axis=1, keepdims=True)
-    for t in range(LENGTH - 2, -1, -1):
-        b = (back[:, t + 1] * e[:, t + 1]) @ move.T
+    for t in range(length - 2, -1, -1):
+        b = (back[:, t + 1] * emit[:, t + 1]) @ move.T
         back[:, t] = b / b.sum(axis=1, keepdims=True)
-    return ahead.reshape(emit.shape), back.reshape(emit.shape)
+    p = ahead * back
+    p /= p.sum(axis=2, keepdims=True)
+    by_word = -p.reshape(-1, k)
+    by_word[np.arange(total * length), gold.reshape(-1)] += 1
+    # expected transitions, from forward values and the backward ones of the word after
+    joint = ahead[:, :-1, :, None] * move * (emit * back)[:, 1:, None, :]
+    joint /= np.maximum(joint.sum(axis=(2, 3), keepdims=True), 1e-300)
+    by_move = -joint.sum(axis=(0, 1))
+    np.add.at(by_move, (gold[:, :-1].reshape(-1), gold[:, 1:].reshape(-1)), 1)
+    return by_word, by_move
 
 
 class Model:
@@ -191,22 +199,23 @@ class Model:
     def __init__(self, labels: list[str], weights: np.ndarray, moves: np.ndarray):
         self.labels, self.weights, self.moves = labels, weights.astype(np.float32), moves
         self.place: dict[str, int] = {}
-        self.table = np.empty((0, len(labels)))
-        self.letters = np.empty(0, bool)
+        self.table = np.empty((1 << 12, len(labels)))
+        self.letters = np.empty(1 << 12, bool)
 
     def places(self, words: list[str]) -> np.ndarray:
         """Rows of the score table for words; scores new ones, in one go."""
         place = self.place
         if len(place) > WORDS_KEPT:
             place.clear()
-            self.table, self.letters = self.table[:0], self.letters[:0]
         new = [w for w in dict.fromkeys(words) if w not in place]
         if new:
             rows, of, letters = features(new)
             start = len(place)
             place.update(zip(new, range(start, start + len(new))))
-            self.table = np.concatenate([self.table, word_scores(self.weights, rows, of, len(new))])
-            self.letters = np.concatenate([self.letters, letters])
+            while len(place) > len(self.letters):
+                self.table, self.letters = np.concatenate([self.table, self.table]), np.concatenate([self.letters, self.letters])
+            self.table[start : len(place)] = word_scores(self.weights, rows, of, len(new))
+            self.letters[start : len(place)] = letters
         return np.fromiter(map(place.__getitem__, words), np.int64, len(words))
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -229,7 +238,7 @@ class Model:
         Texts of like length go through forward-backward together, so that a
         long one doesn't make short ones wait.
         """
-        order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: len(texts[i]))
+        order = sorted((i for i, t in enumerate(texts) if t and self.labels), key=lambda i: len(texts[i]))
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         at = 0
         while at < len(order):
@@ -254,53 +263,44 @@ class Model:
         return names, scores
 
 
-def labelled_sample(docs: DataFrame, rows: int = SAMPLE, size: int = SLICE, seed: int = SEED) -> list[tuple[str, str]]:
-    """At most rows (text, lang) pairs of each language of docs (text, lang), size characters of each.
+def labelled_sample(docs: DataFrame, rows: int = SAMPLE, seed: int = SEED) -> list[tuple[str, str]]:
+    """At most rows (text, lang) pairs of each language of docs (text, lang), with whole texts.
 
     Texts are dealt by hash into as many cells a language, and the least hash
     of each cell is taken: counts and hashes are merged before the shuffle.
     """
     docs = docs.where("text is not null and lang is not null")
-    hashed = docs.withColumn("h", F.xxhash64(F.lit(seed), "text"))
+    hashed = docs.select("text", "lang", F.xxhash64(F.lit(seed), "text").alias("h"))
     cell = F.pmod(F.shiftright("h", 7), F.lit(rows))
-    least = hashed.groupBy("lang", cell.alias("cell")).agg(F.min("h").alias("h")).select("h").distinct()
-    taken = hashed.join(F.broadcast(least), "h", "left_semi")  # at most rows numbers a language
-    start = 1 + F.pmod(F.col("h"), F.greatest(F.length("text") - size, F.lit(1)))
-    taken = taken.select("lang", "h", F.substring("text", start.cast("int"), F.lit(size)).alias("text")).dropDuplicates(["lang", "h"])
+    least = settled(hashed.groupBy("lang", cell.alias("cell")).agg(F.min("h").alias("h")).select("lang", "h"))
+    small = least.count() <= BROADCAST_ROWS  # of a hash and a language; else the join shuffles
+    taken = hashed.join(F.broadcast(least) if small else least, ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text"))
     return [(r.text, r.lang) for r in taken.orderBy("lang", "h").collect()]
 
 
 def _predicted(batches, shared):
-    model = held(shared.id, lambda: Model(*pickle.loads(shared.value)))
-    for b in batches:
-        texts = b.column("text").cast(pa.string()).to_pylist()
-        names, scores = model.languages(texts)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
-
-
-class _Shared:
-    """A broadcast value with a name of its own."""
-
-    def __init__(self, broadcast):
-        self.id, self.broadcast = uuid.uuid4().hex, broadcast
-
-    @property
-    def value(self):
-        return self.broadcast.value
+    with held(lambda: Model(*pickle.loads(shared.value))) as model:
+        for batch in batches:
+            for b in slices(batch, BYTES_AT_ONCE):
+                names, scores = model.languages(b.column("text").cast(pa.string()).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
 
 def identify(docs: DataFrame, training: DataFrame, rows: int = SAMPLE) -> DataFrame:
     """docs with lang_pred and score added, by a field trained on a sample of training (text, lang).
 
-    Null texts and texts without letters are ``und`` with score 0. With no
-    labelled row everything is ``und``. Repeated rows and other columns stay,
-    but columns named lang_pred or score are replaced.
+    Null and empty texts and texts without letters are ``und`` with score 0.
+    With no labelled row everything is ``und``. Very long texts are read
+    whole; of languages that tie the first by code point wins. Repeated rows
+    and other columns stay, but columns named lang_pred or score are replaced.
+    An empty table gives an empty one. Model and sample grow with the number
+    of languages, which is to be a small one (tens).
     """
     docs = docs.drop("lang_pred", "score")
     sample = labelled_sample(training, rows)
     labels = sorted({lang for _, lang in sample})
     weights, moves = train(sample, labels)
-    shared = _Shared(docs.sparkSession.sparkContext.broadcast(pickle.dumps((labels, weights.astype(np.float32), moves))))
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((labels, weights.astype(np.float32), moves)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
     return docs.mapInArrow(lambda b: _predicted(b, shared), schema)
 
