@@ -142,9 +142,10 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     Turns go by turn, then role and text, nulls first. Null roles and texts
     are empty; rows whose conv_id is null are one conversation; repeated rows
-    stay. loss has the spans of the assistant's texts in code points of
-    formatted. A conversation is one string, so it is made in one task, which
-    holds no other one meanwhile.
+    stay, and turns that tie go by their texts. Other columns go, whatever
+    their names; an empty table gives an empty one. loss has the spans of the assistant's texts in code points of
+    formatted. A conversation is one string, however long, so it is made in
+    one task, which holds no other one meanwhile.
     """
     kind = dict(turns.dtypes)["conv_id"]
     rows = turns.select("conv_id", F.col("turn").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))

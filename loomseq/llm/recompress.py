@@ -329,16 +329,19 @@ def remove_repeats(docs: DataFrame, width: int = 35, chunk_bytes: int = CHUNK_BY
     A word goes if it is covered by a window of width consecutive words whose
     sequence also starts anywhere else, the same document included. spans has
     the removed runs by first and last word; kept the other words, joined by
-    one space. Null texts have no words; repeated rows count as documents of
-    their own; an empty table gives no rows.
+    one space. Null texts have no words; rows with one id, or none, and
+    repeated rows count as documents of their own; a text is whole in one
+    chunk, however long. Other columns go, whatever their names; an empty
+    table gives no rows. Windows are equal here if their anchors and hashes
+    are, of 64 bits each.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-volume // chunk_bytes))
     parts = max(12, chunks // 3)
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("long"))
-    grouped = rows.repartition("chunk")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long"))
+    grouped = rows.repartition(chunks, "chunk")  # about a chunk each, so that no task has many
     own = grouped.groupBy("chunk").applyInArrow(lambda key, left: _chunk_anchors(key, left, width, parts), "part long, chunk long, anchors array<long>")
     # one plan, so that Spark shuffles the texts and the anchors once and reads them again in each pass
     shared = own.repartition(parts, "part").mapInArrow(_shared_anchors, "chunk long, anchors array<long>")
