@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, settled
+from .common import byte_rows, settled, slices
 from .graph import connected_components
 
 #: The generator of the (23, 12) Golay code, and XXH64's seed.
@@ -48,8 +48,8 @@ LINK_BITS = 4
 
 #: Cells in which shingles are counted, one in how many texts is, and from how many times the mean (and one) a cell is common.
 CELLS, SAMPLED, COMMON = 1 << 20, 16, 4
-#: Bits of the map of texts that pairs ask for.
-BITS = 1 << 26
+#: Bits of the map of texts that pairs ask for; texts that a task remembers having had.
+BITS, SEEN = 1 << 26, 500_000
 
 
 @cache
@@ -157,22 +157,18 @@ def fingerprint(text: bytes | None, width: int) -> int:
 
 def _fingerprints(batches, width: int):
     for batch in batches:
-        found = np.array([fingerprint(t, width) for t in byte_rows(batch.column(1))], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        for part in slices(batch):
+            found = np.array([fingerprint(t, width) for t in byte_rows(part.column(1))], np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
 
-def _wholes(batches):
-    """The hash of all words of a text in order beside its row."""
-    for batch in batches:
-        wholes = [xxhash.xxh3_64_intdigest(b" ".join((t or b"").lower().split())) for t in byte_rows(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(wholes, np.uint64).view(np.int64))], ["doc_id", "text", "whole"])
+def _prints(batches, width: int):
+    return _fingerprints(_new_rows(batches), width)
 
 
-def _shingled(batches, width: int):
-    """The set of shingle hashes of each text, sorted."""
-    for batch in batches:
-        sets = [np.unique(shingle_hashes(t, width)).tobytes() for t in byte_rows(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("whole"), pa.array(sets, pa.binary())], ["whole", "shingles"])
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(shingle_hashes(text, width))
 
 
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -182,78 +178,134 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return both / union if union else 1.0
 
 
-def _similar(batches, least: float):
+def _new_rows(batches, col: int = 0):
+    """Batches of SLICE_ROWS rows at most, without rows whose number at col this task has had; repeats may pass."""
+    seen: set = set()
     for batch in batches:
-        x, y = byte_rows(batch.column("sa")), byte_rows(batch.column("sb"))
-        near = [jaccard(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= least for p, q in zip(x, y)]
-        yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+        for part in slices(batch):
+            ids = part.column(col).to_pylist()
+            new = [i not in seen and not seen.add(i) for i in ids]
+            if len(seen) > SEEN:
+                seen.clear()
+            yield part if all(new) else part.filter(pa.array(new, pa.bool_()))
 
 
-def _cells(batches):
-    """How many sampled sets have a shingle of each cell of the hashes."""
-    counts = np.zeros(CELLS, np.int64)
+def _similar(batches, width: int, least: float):
+    """Pairs (a, b, ta, tb), in runs of one a, whose texts are similar."""
+    at, x = None, None
     for batch in batches:
-        for t in byte_rows(batch.column(0)):
-            np.add.at(counts, (np.frombuffer(t, np.uint64) % np.uint64(CELLS)).astype(np.int64), 1)
+        for part in slices(batch):
+            near = []
+            for a, p, q in zip(part.column(0).to_pylist(), byte_rows(part.column("ta")), byte_rows(part.column("tb"))):
+                if a != at:
+                    at, x = a, shingle_set(p, width)
+                near.append(jaccard(x, shingle_set(q, width)) >= least)
+            yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+
+def _cells(batches, width: int):
+    """In how many texts (t, text) there is a shingle of each cell of the hashes."""
+    counts = np.zeros(CELLS, np.int64)
+    for batch in _new_rows(batches):
+        for t in byte_rows(batch.column(1)):
+            np.add.at(counts, (shingle_set(t, width) % np.uint64(CELLS)).astype(np.int64), 1)
     at = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["cell", "n"])
 
 
-def _prefixes(batches, least: float, cells: np.ndarray, levels: np.ndarray):
-    """Postings of the first shingles of each set, in one order for all sets: common ones last."""
+def _prefixes(batches, width: int, least: float, cells: np.ndarray, levels: np.ndarray):
+    """Postings (key, t, n, score) of the first shingles of each text, in one order for all texts: common ones last.
+
+    n is the size of the whole set, score the percentage of common shingles
+    among the first. A text without words has one posting, of size 0.
+    """
     level_of = np.zeros(CELLS, np.int8)
     level_of[cells] = levels
-    for batch in batches:
-        keys, wholes, sizes, scores = [], [], [], []
-        for whole, t in zip(batch.column(0).to_numpy().tolist(), byte_rows(batch.column(1))):
-            x = np.frombuffer(t, np.uint64)
-            if not len(x):
-                continue
+    for batch in _new_rows(batches):
+        keys, texts, sizes, scores = [], [], [], []
+        for name, t in zip(batch.column(0).to_pylist(), byte_rows(batch.column(1))):
+            x = shingle_set(t, width)
             level = level_of[(x % np.uint64(CELLS)).astype(np.int64)]
             n = len(x) - ceil(least * len(x) - 1e-9) + 1
             first = np.argsort(level, kind="stable")[:n]  # x is sorted by hash
-            keys.append(x[first])
-            wholes.append(np.full(n, whole, np.int64))
-            sizes.append(np.full(n, len(x), np.int64))
-            scores.append(np.full(n, int(100 * (level[first] > 0).mean()), np.int64))
+            found = x[first] if len(x) else np.zeros(1, np.uint64)
+            keys.append(found)
+            texts.append(np.full(len(found), name, np.int64))
+            sizes.append(np.full(len(found), len(x), np.int32))
+            scores.append(np.full(len(found), int(100 * (level[first] > 0).mean()) if len(x) else 0, np.int32))
         if keys:
-            columns = [pa.array(np.concatenate(keys).view(np.int64)), *[pa.array(np.concatenate(c)) for c in (wholes, sizes, scores)]]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "whole", "n", "score"])
+            columns = [pa.array(np.concatenate(keys).view(np.int64)), *[pa.array(np.concatenate(c)) for c in (texts, sizes, scores)]]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "t", "n", "score"])
+
+
+def _shared(batches):
+    """Rows (key, t, n) sorted by key in, equal ones side by side; each once, and only those whose key has another t."""
+    last, again = None, False  # the last row so far, not out yet, and if its key has had another
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks().to_batches()[0]
+        k, t = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        own = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (t[1:] != t[:-1])]))
+        next_same = k[own][1:] == k[own][:-1]
+        before = np.concatenate([[again], next_same])
+        yield rows.take(pa.array(own[:-1][before[:-1] | next_same]))
+        last, again = rows.slice(int(own[-1]), 1), bool(before[-1])
+    if again:
+        yield last
+
+
+def _need(n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    """How many first shingles two sets of sizes n and m have in common at least if they are similar.
+
+    Of the one whose first shingles end first, in the common order, only the
+    rest can be in common besides.
+    """
+    both = np.ceil(least / (1 + least) * (n + m) - 1e-6)
+    rest = np.ceil(least * np.maximum(n, m) - 1e-9) - 1
+    return np.maximum(1, both - rest).astype(np.int64)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need)], ["a", "b", "need"])
 
 
 def _hub_pairs(batches, least: float):
-    """Rows (key, whole, n) sorted by key in; each row with the first of its key, if near enough in size."""
-    key, whole, size = None, 0, 0
+    """Rows (key, t, n) sorted by key in; each row with the first of its key, if near enough in size."""
+    key, text, size = None, 0, 0
     for batch in batches:
         if not batch.num_rows:
             continue
         k, w, n = (batch.column(i).to_numpy() for i in range(3))
         new = np.concatenate([[key is None or k[0] != key], k[1:] != k[:-1]])
         at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-        hub, hub_n = np.where(at >= 0, w[at], whole), np.where(at >= 0, n[at], size)
-        key, whole, size = k[-1], hub[-1], hub_n[-1]
+        hub, hub_n = np.where(at >= 0, w[at], text), np.where(at >= 0, n[at], size)
+        key, text, size = k[-1], hub[-1], hub_n[-1]
         near = (hub != w) & (np.minimum(n, hub_n) >= least * np.maximum(n, hub_n) - 1e-6)
-        a, b = np.minimum(w, hub)[near], np.maximum(w, hub)[near]
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        yield _pairs(w[near], hub[near], (_need(n[near], hub_n[near], least) + 1) // 2)
 
 
 def _among(batches, slots: np.ndarray, bits: np.ndarray):
-    """Rows whose first column may be among those of a bitmap of BITS bits."""
+    """Rows (t, text) whose t may be among those of a bitmap of BITS bits."""
     bitmap = np.zeros(BITS // 64, np.uint64)
     bitmap[slots] = bits.view(np.uint64)
-    for batch in batches:
-        cell = batch.column(0).to_numpy().view(np.uint64) % np.uint64(BITS)
-        found = bitmap[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1)
-        yield batch.filter(pa.array(found.astype(bool)))
+
+    def some():
+        for batch in batches:
+            cell = batch.column(0).to_numpy().view(np.uint64) % np.uint64(BITS)
+            found = bitmap[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1)
+            yield batch.filter(pa.array(found.astype(bool)))
+
+    yield from _new_rows(some())
 
 
 def _apart_pairs(batches, least: float):
-    """Rows (key, whole, n, comp) sorted by key in; pairs of a key in different components, near enough in size, out."""
+    """Rows (key, t, n, comp) sorted by key in; pairs of a key in different components, near enough in size, out."""
 
     def pairs(rows: list[np.ndarray]):
         k, w, n, c = rows
         starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        left, right, held_back = [], [], 0
+        found, held_back = [], 0
         for s, e in zip(starts, np.append(starts[1:], len(k))):
             if e - s < 2 or (c[s:e] == c[s]).all():
                 continue
@@ -261,16 +313,16 @@ def _apart_pairs(batches, least: float):
             bw, bn, bc = w[order], n[order], c[order]
             ends = np.searchsorted(bn, bn / least + 1e-6, side="right")
             for i in range(len(bw) - 1):
-                other = bw[i + 1 : ends[i]][bc[i + 1 : ends[i]] != bc[i]]
+                apart = bc[i + 1 : ends[i]] != bc[i]
+                other = bw[i + 1 : ends[i]][apart]
                 if len(other):
-                    left.append(np.minimum(other, bw[i]))
-                    right.append(np.maximum(other, bw[i]))
+                    found.append((np.full(len(other), bw[i]), other, _need(np.full(len(other), bn[i]), bn[i + 1 : ends[i]][apart], least)))
                     held_back += len(other)
                 if held_back > 1 << 16:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
-                    left, right, held_back = [], [], 0
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+                    yield _pairs(*map(np.concatenate, zip(*found)))
+                    found, held_back = [], 0
+        if found:
+            yield _pairs(*map(np.concatenate, zip(*found)))
 
     tail: list = []
     for batch in batches:
@@ -431,60 +483,76 @@ def components(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     stars = connected_components(fingerprint_links(least, bucket))
     placed = least.join(stars, least.fp == stars.node, "left").select("fp", "least", F.coalesce("comp", "fp").alias("comp"))
-    names = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
-    by_fp = placed.join(names, "comp").select("fp", "component_id")
+    # settled, so that Spark can split the joins on a class or a fingerprint that many rows have
+    placed = settled(placed)
+    names = settled(placed.groupBy("comp").agg(F.min("least").alias("component_id")))
+    by_fp = settled(placed.join(names, "comp").select("fp", "component_id"))
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def text_key(text: F.Column) -> F.Column:
+    """The number that stands for a text, the same for equal texts; null has one of its own."""
+    return F.xxhash64(text.cast("string"))
+
+
 def similar_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): classes of documents whose sets of word shingles have that Jaccard index.
-
-    The search is complete: two sets that similar share a shingle among the
-    first (1 - least) of each, in any order common to all sets. That order puts
-    common shingles last, by counts of a sample, which decide the work and not
-    the result. Each pair is decided by its whole sets: first each text with
-    the most common text of each of its keys, which links groups of near copies
-    in linear work, then all pairs of a key that aren't connected by then; these
-    grow with the square of what is left unconnected. Rows must have an id;
-    those with one id are one document. Texts of the same words in the same
-    order always link.
+    """(doc_id, t, component_id, stays): classes of documents whose sets of word shingles have that Jaccard index.
+
+    One row for each different pair of doc_id and text_key(text); such rows
+    are one document. Of each class the least by (doc_id, t) stays, a null
+    doc_id coming last, and component_id is its doc_id.
+
+    Links come from two searches, and every link is decided by the whole texts.
+    First SimHashes within four bits by Golay keys, and each text with the
+    most common text of each of its shingle keys: these link groups of near
+    copies in linear work. SimHash misses most pairs near 0.8, so the second
+    search is complete: two sets that similar have some of the first
+    (1 - least) of their shingles in common, in any order common to all sets,
+    and that many (``_need``). The order puts common shingles last, by counts
+    of a sample, which decide the work and not the result. All pairs of a key
+    that aren't connected by then are counted; these grow with the square of
+    what is left unconnected. Texts without words are alike.
     """
-    given = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = dict(given.dtypes)["doc_id"]
-    hashed = given.mapInArrow(_wholes, f"doc_id {kind}, text string, whole long")
-    rows = settled(hashed.select("doc_id", "whole"))
-    # one row for each different text: its least id
-    firsts = rows.groupBy("whole").agg(F.min("doc_id").alias("first"))
-    copies = rows.select("doc_id", "whole").join(firsts, "whole").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    texts = hashed.join(firsts, "whole").where("doc_id = first").select("whole", "text").dropDuplicates(["whole"])
-    texts = settled(texts.mapInArrow(partial(_shingled, width=width), "whole long, shingles binary"))
+    given = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("t", text_key(F.col("text")))
+    rows = settled(given.select("doc_id", "t"))
+    texts = given.select("t", "text")
 
     def verified(asked: DataFrame) -> DataFrame:
-        asked = settled(asked.distinct())
-        # only the sets that some pair asks for, and few others, are shuffled
+        asked = settled(asked.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b"))
+        # only the texts that some pair asks for, and few others, are shuffled
         cells = asked.select(F.explode(F.array("a", "b")).alias("id")).select(F.pmod("id", F.lit(BITS)).alias("cell"))
         slots = cells.groupBy(F.shiftright("cell", 6).alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(cell & 63 AS int)))").alias("bits")).toArrow()
-        some = texts.mapInArrow(partial(_among, slots=slots["slot"].to_numpy(), bits=slots["bits"].to_numpy()), texts.schema)
-        pairs = asked.join(some.toDF("a", "sa"), "a").join(some.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-        return settled(pairs.mapInArrow(partial(_similar, least=least), "a long, b long"))
+        some = texts.mapInArrow(partial(_among, slots=slots["slot"].to_numpy(), bits=slots["bits"].to_numpy()), texts.schema).dropDuplicates(["t"])
+        pairs = asked.join(some.toDF("b", "tb"), "b").join(some.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
+        return settled(pairs.mapInArrow(partial(_similar, width=width, least=least), "a long, b long"))
 
-    sample = texts.where(F.pmod("whole", F.lit(SAMPLED)) == 0).select("shingles")
-    counted = settled(sample.mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")))
+    sample = texts.where(F.pmod("t", F.lit(SAMPLED)) == 0)
+    counted = settled(sample.mapInArrow(partial(_cells, width=width), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")))
     mean = (counted.agg(F.sum("n")).first()[0] or 0) / CELLS
     common = counted.where(F.col("n") >= COMMON * (1 + mean)).toArrow()
     cells, levels = common["cell"].to_numpy(), np.log2(common["n"].to_numpy()).astype(np.int8)
-    postings = texts.mapInArrow(partial(_prefixes, least=least, cells=cells, levels=levels), "key long, whole long, n long, score long")
-
-    by_key = postings.repartition("key").sortWithinPartitions("key", F.desc("score"), "whole").select("key", "whole", "n")
-    links = verified(by_key.mapInArrow(partial(_hub_pairs, least=least), "a long, b long"))
+    postings = texts.mapInArrow(partial(_prefixes, width=width, least=least, cells=cells, levels=levels), "key long, t long, n int, score int")
+    by_key = postings.repartition("key").sortWithinPartitions("key", F.desc("score"), "t").select("key", "t", "n")
+    shared = settled(by_key.mapInArrow(_shared, "key long, t long, n int"))
+
+    prints = settled(texts.mapInArrow(partial(_prints, width=width), "t long, fp long"))
+    heads = settled(prints.groupBy("fp").agg(F.min("t").alias("head")))
+    alike = prints.join(heads, "fp").where("t <> head").select(F.col("head").alias("a"), F.col("t").alias("b"))
+    near = fingerprint_links(heads.select("fp")).toDF("x", "y").join(heads.toDF("x", "a"), "x").join(heads.toDF("y", "b"), "y").select("a", "b")
+    golay = alike.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1).cast("long").alias("need"))
+    hubs = shared.mapInArrow(partial(_hub_pairs, least=least), "a long, b long, need long")  # its partitions are still sorted
+    links = verified(golay.union(hubs))
     stars = connected_components(links)
-    placed = postings.join(stars, postings.whole == stars.node, "left").select("key", "whole", "n", F.coalesce("comp", "whole").alias("comp"))
-    rest = placed.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_apart_pairs, least=least), "a long, b long")
-    links = links.union(verified(rest))
-    near = links.join(firsts.toDF("a", "x"), "a").join(firsts.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    stars = connected_components(near.union(copies))
-    ids = rows.select("doc_id").distinct()
-    return ids.join(stars, ids.doc_id == stars.node, "left").select("doc_id", F.coalesce("comp", "doc_id").alias("component_id"))
+    placed = shared.join(stars, shared.t == stars.node, "left").select("key", "t", "n", F.coalesce("comp", "t").alias("comp"))
+    rest = placed.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_apart_pairs, least=least), "a long, b long, need long")
+    stars = connected_components(links.union(verified(rest)))
+
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")
+    firsts = settled(rows.groupBy("t").agg(F.min(place).alias("first")).join(stars, F.col("t") == stars.node, "left").select("t", "first", F.coalesce("comp", "t").alias("comp")))
+    heads = settled(firsts.groupBy("comp").agg(F.min("first").alias("head")))
+    named = settled(firsts.join(heads, "comp").select("t", "head"))
+    found = rows.distinct().join(named, "t")
+    return found.select("doc_id", "t", F.col("head.doc_id").alias("component_id"), (place == F.col("head")).alias("stays"))
 
 
 def op4_simhash_golay(docs: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 import base64
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomseq.llm import bpe, chat, iblt, langid, linededup, media, mixing, recompress, simhash, warc
 from loomseq.llm.graph import connected_components
@@ -187,6 +189,9 @@ def test_bpe_as_the_library(spark):
         assert got[i].n_tokens == len(ids)
         assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    odd = frame(spark, ["a b", "a b", None], ids=F.lit("x"), n_tokens=F.lit("y"))
+    assert sorted(x.n_tokens for x in bpe.op5_byte_bpe(odd.union(odd)).collect()) == [0, 0, 2, 2, 2, 2]
+    assert bpe.op5_byte_bpe(odd.limit(0)).count() == 0
     back = bpe.decode(bpe.encode(frame(spark, texts), path, tok.PATTERN), path, tok.PATTERN)
     assert {x.doc_id: bytes(x.bytes).decode() for x in back.collect()} == {i: t or "" for i, t in enumerate(texts)}
 
@@ -247,6 +252,57 @@ def test_line_chunks(spark):
     assert all(x.n_removed == 0 for x in linededup.remove_repeated_lines(single).collect())
 
 
+def _line_chunks(text):
+    """The chunks of a text, as lists of lines, by plain loops."""
+    lines = (text or "").split("\n")
+    h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+    r = [(a * 257 + b) % 1_000_003 for a, b in zip(h, h[1:])]
+    out, start = [], 0
+    for i in range(2, len(lines) - 1):
+        if r[i] < r[i - 1] and (i + 1 == len(r) or r[i] < r[i + 1]):
+            out.append(lines[start:i])
+            start = i
+    return [*out, lines[start:]]
+
+
+def _without_repeats(rows):
+    """(kept text, lines, removed) of rows (doc_id, text), in order of doc_id."""
+    seen, out = set(), []
+    for _, text in sorted(rows, key=lambda x: (x[0] is None, x[0])):
+        kept, gone = [], 0
+        chunks = _line_chunks(text)
+        for c in chunks:
+            if sum(bool(x.strip()) for x in c) >= 2 and tuple(c) in seen:
+                gone += len(c)
+            else:
+                kept += c
+            seen.add(tuple(c))
+        out.append(("\n".join(kept), sum(map(len, chunks)), gone))
+    return out
+
+
+def test_line_chunks_against_plain_loops(spark):
+    r = random.Random(23)
+    pool = [[f"p{i} line {j}" for j in range(r.randrange(2, 25))] for i in range(6)]
+    texts = [*EDGES, "\n".join(f"very long {i}" for i in range(5000))]
+    for _ in range(60):
+        lines = []
+        for _ in range(r.randrange(1, 5)):
+            p = r.choice(pool)
+            s = r.randrange(len(p))
+            lines += [f"own {r.random()}" for _ in range(r.randrange(5))] + p[s : s + r.randrange(2, 25)] + r.choice([[], ["", ""]])
+        texts.append("\n".join(lines))
+    rows = [(5 * i - 40, t) for i, t in enumerate(texts)]
+    clash = {c: f"'{c}'" for c in ("dedup_row", "dedup_gone", "dedup_chunks", "chunks", "gone", "row", "tag", "id", "key", "copies", "copy", "j", "h1", "t")}
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *[f"{v} AS {k}" for k, v in clash.items()], "0 AS n_lines")
+    got = sorted(linededup.remove_repeated_lines(df).collect(), key=lambda x: x.doc_id)
+    assert [(x.text, x.n_lines, x.n_removed) for x in got] == _without_repeats(rows)
+    assert all(x[c] == c for x in got for c in clash)
+    query = sorted(linededup.op10_line_chunks(df).collect(), key=lambda x: x.doc_id)
+    assert [x.kept_sha256 for x in query] == [hashlib.sha256(x.text.encode()).hexdigest() for x in got]
+    assert linededup.op10_line_chunks(df.limit(0)).count() == 0
+
+
 def test_line_chunks_are_removed_by_row(spark):
     r = random.Random(21)
     long = "\n".join(f"long {r.random()}" for _ in range(60))
@@ -260,17 +316,56 @@ def test_line_chunks_are_removed_by_row(spark):
 # sketches
 
 
+def _print_of(digests, xxh):
+    """A sketch by plain loops: cell -> [count, digest XOR, check XOR]."""
+    cells = [[0, 0, 0] for _ in range(iblt.SUBTABLES * iblt.CELLS)]
+    for key in digests:
+        for t in range(iblt.SUBTABLES):
+            c = cells[t * iblt.CELLS + xxh(key, t) % iblt.CELLS]
+            c[0] += 1
+            c[1] ^= key & (1 << 64) - 1
+            c[2] ^= xxh(key, -1) & (1 << 32) - 1
+    return cells
+
+
+def _peeled(a, b, xxh):
+    """What two sketches have alone, by plain loops; None if their difference doesn't peel."""
+    d = [[x[0] - y[0], x[1] ^ y[1], x[2] ^ y[2]] for x, y in zip(a, b)]
+    only = {1: set(), -1: set()}
+    moved = True
+    while moved:
+        moved = False
+        for i, (n, key, check) in enumerate(d):
+            signed = key - (1 << 64) if key >> 63 else key
+            if n in only and xxh(signed, -1) & (1 << 32) - 1 == check and i % iblt.CELLS == xxh(signed, i // iblt.CELLS) % iblt.CELLS:
+                only[n].add(signed)
+                for t in range(iblt.SUBTABLES):
+                    c = d[t * iblt.CELLS + xxh(signed, t) % iblt.CELLS]
+                    c[0], c[1], c[2] = c[0] - n, c[1] ^ key, c[2] ^ check
+                moved = True
+    return None if any(map(any, d)) else only
+
+
 def test_sketches_recover_differences(spark):
+    import re
+
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    # Spark's hash of a long and an int: each is 8 or 4 bytes, the first one's hash is the seed of the second
+    hash_long = lambda x, seed: xxhash.xxh64_intdigest((x & (1 << 64) - 1).to_bytes(8, "little"), seed)
+    xxh = lambda key, t: signed(xxhash.xxh64_intdigest((t & (1 << 32) - 1).to_bytes(4, "little"), hash_long(key, 42)))
     r = random.Random(8)
     texts = list(EDGES)
     for _ in range(40):
-        texts.append("\n".join(f"line {r.randrange(60)}" for _ in range(r.randrange(1, 120))))
-    texts += texts[-2:]
-    rows = list(enumerate(texts))
+        texts.append("\n".join(f"line {r.randrange(60)}." + r.choice(["", " and more. Also. Bits", " then"]) for _ in range(r.randrange(1, 120))))
+    texts += [texts[-1], texts[-2], "\n".join(f"far {i}" for i in range(3000))]
     got = {x.doc_id: x for x in iblt.op8_iblt_fingerprints(frame(spark, texts)).collect()}
-    sets = lambda t: {x for x in t.split("\n") if x}
+    sets = lambda t: {signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in re.split(iblt.CUT, t) if x}
     near = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
-    for i, t in rows:
+    read = lambda s: [[int.from_bytes(c[:4], "big"), int.from_bytes(c[4:12], "big"), int.from_bytes(c[12:], "big")] for raw in [base64.b64decode(s)] for c in (raw[i : i + 16] for i in range(0, len(raw), 16))]
+    peels = 0
+    for i, t in enumerate(texts):
         t, after = t or "", texts[(i + 1) % len(texts)] or ""
         half = len(t) // 2
         edited = t[: len(t) - half] + after[:half]
@@ -278,10 +373,42 @@ def test_sketches_recover_differences(spark):
         assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert got[i].near_edited == pytest.approx(near(sets(t), sets(edited)))
         assert got[i].near_next == pytest.approx(near(sets(t), sets(after)))
-    assert got[len(texts) - 1].fingerprint == got[len(texts) - 3].fingerprint
+        prints = read(got[i].fingerprint), read(got[i].edited_fingerprint)
+        assert prints == (_print_of(sets(t), xxh), _print_of(sets(edited), xxh))
+        only = _peeled(*prints, xxh)
+        if only is not None:  # the likeness can be had from the two fingerprints alone
+            size = sum(c[0] for c in prints[0][: iblt.CELLS])
+            x, y = len(only[1]), len(only[-1])
+            assert got[i].near_edited == pytest.approx((size - x) / (size + y) if size + y else 1.0)
+            peels += 1
+    assert 10 < peels < len(texts)
+    assert got[len(texts) - 3].fingerprint == got[len(texts) - 4].fingerprint
     assert iblt.op8_iblt_fingerprints(frame(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_next_documents(spark):
+    far = [(-(2**63), "least"), (2**63 - 1, "most"), (5, "five"), (None, "n1"), (None, "n2"), (None, None), (7, "seven"), (7, "seven"), (7, "other seven"), (2**53 + 1, "odd"), (2**53, "even")]
+    df = spark.createDataFrame(far, "doc_id long, text string")
+    rows = iblt.with_next(df).collect()
+    assert len(rows) == len(far)
+    after = defaultdict(list)
+    for x in rows:
+        after[x.doc_id].append((x.text, x.next_text))
+    assert after[-(2**63)] == [("least", "five")] and after[2**53] == [("even", "odd")] and after[2**53 + 1] == [("odd", "most")]
+    assert after[5][0][1] in ("seven", "other seven") and after[2**63 - 1][0][1] in ("n1", "n2", "")
+    assert sorted(b for key in (2**63 - 1, None) for _, b in after[key]) == ["", "least", "n1", "n2"]
+    assert sorted(b for _, b in after[7]).count("even") == 1
+    hot = spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN 1 WHEN id % 3 = 1 THEN NULL ELSE id END AS doc_id", "CAST(id AS STRING) AS text")
+    got = iblt.with_next(hot).collect()
+    following = {x.text: x.next_text for x in got}
+    assert len(got) == len(following) == len(set(following.values())) == 6000
+    at, seen = "5999", 0
+    while seen < 6000:  # one round through all rows, ids ascending, nulls last
+        at = following[at]
+        seen += 1
+    assert at == "5999"
+
+
 # mixing
 
 
@@ -299,10 +426,17 @@ def test_fit_counts_is_exact():
         assert int((take * lengths).sum()) == max(s for s in sums if s <= budget)
 
 
+def test_fit_counts_of_long_documents():
+    fit = lambda lengths, counts, budget: mixing.fit_counts(np.array(lengths), np.array(counts), budget, 100).tolist()
+    assert fit([10**12], [1], 5 * 10**11) == [0]
+    assert fit([3, 10**9, 10**12], [1, 2, 1], 10**12 + 7) == [1, 0, 1]
+    assert fit([900, 950, 2000], [1, 1, 1], 1000) == [0, 1, 0]
+
+
 def test_mix(spark):
     r = random.Random(10)
     rows = [(i, " ".join("w" * r.randrange(0, 60)), "en", r.choice(["a", "b", "c", "é", None, "a", "a"]), 0) for i in range(900)]
-    df = spark.createDataFrame(rows, DOCS).withColumn("target", __import__("pyspark").sql.functions.lit(1))
+    df = spark.createDataFrame(rows, DOCS).withColumn("target", F.lit(1))
     got = mixing.op1_mix_knapsack(df).collect()
     assert sorted(got) == sorted(mixing.op1_mix_knapsack(df.repartition(7)).collect())
     source = {i: s for i, _, _, s, _ in rows}
@@ -331,6 +465,20 @@ def test_mix(spark):
     assert mixing.op1_mix_knapsack(df.limit(0)).count() == 0
 
 
+def test_mix_of_odd_tables(spark):
+    names = ["mix_quota", "mix_size", "mix_key", "mix_hash", "mix_cell", "mix_nth", "mix_passes", "row", "quota", "passes", "nth", "n", "target", "copies"]
+    rows = [(None, "a", 5, "k1"), (None, "a", 5, "k1"), (1, "a", 5, "k1"), (1, "a", 7, "k2"), (2, None, None, None), (3, "b", 10**12, "k3"), (4, "b", 0, "k4")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, keep string").withColumns({n: F.lit(n) for n in names})
+    out = mixing.mix(df).collect()
+    assert sorted((x.doc_id or 0, x.keep or "") for x in out) == sorted((r[0] or 0, r[3] or "") for r in rows)
+    assert all(x[n] == n for x in out for n in names[:-2]) and all(0 <= x.copies <= 2 for x in out)
+    many = spark.range(5000).selectExpr("id AS doc_id", "CONCAT('host', id % 2500) AS source", "id % 7 AS size")
+    weights = {x.mix_key: x.target / max(x.source_size, 1) for x in mixing.source_targets(many).collect()}
+    assert len(weights) == 2500
+    mixed = mixing.mix(many).selectExpr("sum(copies * size)", "sum(target / 2)").first()
+    assert abs(mixed[0] - 1.5 * sum(i % 7 for i in range(5000))) < 2500
+
+
 # archives
 
 
@@ -350,6 +498,8 @@ def test_archive(spark, tmp_path):
         length = int(head.rsplit(b"Content-Length: ", 1)[1])
         assert body[length:] == b"\r\n\r\n" and body[:length] == (b"" if r.record_type == "revisit" else bytes(r.payload))
         assert b"\r\nEvil" not in head
+    names = [x.name for x in warc.read_archive(spark, path).selectExpr("regexp_extract(decode(header, 'UTF-8'), 'WARC-Record-ID: (.*)', 1) AS name").collect()]
+    assert len(set(names)) == len(rows)  # also of repeated rows
     assert warc.op3_warc_content_addressed(df.limit(0)).count() == 0
 
 
@@ -402,15 +552,52 @@ def test_images():
         assert np.allclose(out, want)
 
 
-def test_media(spark):
-    texts = [*EDGES, "x" * 64, "y" * 65]
-    got = {x.doc_id: x for x in media.op7_media_netpbm(frame(spark, texts)).collect()}
+def _plain_tile(payload):
+    """Means over the areas of an image 64 wide, by fractions, and the bits of neighbours that grow."""
+    from fractions import Fraction
+
+    image = [payload[i : i + 64] for i in range(0, len(payload), 64)]
+    (rows, columns), h = media.TILE, len(image)
+
+    def weights(n, parts, k):
+        low, high = Fraction(k * n, parts), Fraction((k + 1) * n, parts)
+        return {i: min(high, i + 1) - max(low, i) for i in range(int(low), min(n, int(high) + 1)) if min(high, i + 1) > max(low, i)}
+
+    tile = []
+    for y in range(rows):
+        wy = weights(h, rows, y)
+        column = [sum(f * image[i][j] for i, f in wy.items()) for j in range(64)]
+        line = []
+        for x in range(columns):
+            wx = weights(64, columns, x)
+            line.append(round(sum(f * column[j] for j, f in wx.items()) / sum(wy.values()) / sum(wx.values())))
+        tile.append(line)
+    bits = [int(b > a) for line in tile for a, b in zip(line, line[1:])]
+    return tile, f"{int(''.join(map(str, bits)), 2):016x}"
+
+
+def test_media(spark, monkeypatch):
+    monkeypatch.setattr(media, "STRIP", 7)  # here; the workers use the large one
+    r = random.Random(24)
+    texts = [*EDGES, "x" * 64, "y" * 65, *["".join(chr(r.randrange(32, 500)) for _ in range(r.randrange(3000))) for _ in range(6)]]
+    df = frame(spark, texts, tile=F.lit("t"), media=F.lit(1))
+    df = df.union(df.where("doc_id = 3"))
+    got = {x.doc_id: x for x in media.op7_media_netpbm(df).collect()}
+    tiles = {x.doc_id: np.load(__import__("io").BytesIO(x.tile)) for x in media.measure(media.store_texts(df, "bmp")).collect()}
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         padded = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         x = got[i]
         assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        stored = b"P5\n64 %d\n255\n" % (len(padded) // 64) + padded
+        assert (x.media_bytes, x.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        tile, feature = _plain_tile(padded)
+        assert tiles[i].tolist() == tile and x.feature == feature
+        assert x.tile_sha256 == hashlib.sha256(media.npy(np.array(tile, np.uint8))).hexdigest()
+        image = np.frombuffer(padded, np.uint8).reshape(-1, 64)
+        assert np.clip(np.rint(media.area_resize(image, *media.TILE)), 0, 255).tolist() == tile
     assert got[0].feature == got[1].feature and len(got[0].feature) == 16
+    assert media.op7_media_netpbm(df).count() == len(texts) + 1 and media.op7_media_netpbm(df.limit(0)).count() == 0
 
 
 # languages
@@ -460,6 +647,29 @@ def test_language_query(spark):
     assert langid.op2_crf_language(df.limit(0)).count() == 0
 
 
+def test_held_out_accuracy(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    docs = spark.read.parquet(path)
+    got = langid.op2_crf_language(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").where("held_out and lang is not null").collect()
+    assert len(got) > 150
+    clear = [x for x in got if x.lang_pred != "und"]
+    assert len(clear) >= 0.95 * len(got) and sum(x.lang_pred == x.lang for x in clear) >= 0.97 * len(clear)
+
+
+def test_languages_of_odd_tables(spark):
+    rows = [(i, "the of thing was", "aa") for i in range(30)] + [(30 + i, "der und nicht schon", "bb") for i in range(30)]
+    rows += [(None, "der und", "bb"), (None, "der und", "bb"), (7, "der und nicht " * 4000, None), (7, None, "zz"), (8, "", "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"lang_pred": F.lit("x"), "score": F.lit("y"), "h": F.lit(1), "cell": F.lit(2)})
+    out = langid.identify(df, df.select("text", "lang"))
+    assert out.columns.count("lang_pred") == 1 and out.count() == len(rows)
+    assert Counter((x.text or "")[:7] + x.lang_pred for x in out.collect()) == {"the of aa": 30, "der undbb": 33, "und": 2}
+    assert all(x.h == 1 and x.cell == 2 for x in out.collect())
+    none = langid.identify(df, df.limit(0).select("text", "lang"))
+    assert {x.lang_pred for x in none.collect()} == {"und"}
+
+
 def test_code_switching():
     r = random.Random(15)
     vocab = {"aa": ["the", "of", "thing", "was"], "bb": ["der", "und", "nicht", "schon"]}
