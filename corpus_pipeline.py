@@ -9,7 +9,6 @@ stage's rows are written as Parquet and read again by the next.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomseq.llm import bpe, langid, linededup, mixing, simhash
@@ -22,7 +21,11 @@ SHINGLE, SIMILAR = 5, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of no language: no letters, or no language with half of the posterior."""
+    """Rejects documents of no language: no letters, or no language with half of the posterior.
+
+    So null and empty texts go; repeated rows and ids stay rows of their own.
+    An empty table stays empty.
+    """
     training = docs.where(~langid.held_out(F.col("doc_id"))).select("text", "lang")
     aside = {c: f"own_{c}" for c in docs.columns if c in ("lang_pred", "score")}  # names that the operator puts
     found = langid.identify(docs.withColumnsRenamed(aside), training)
@@ -31,9 +34,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out repeated chunks of lines; a document of which nothing is left goes."""
-    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("row"))
-    left = linededup.remove_repeated_lines(rows).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    """Takes out repeated chunks of lines; a document of which nothing is left goes.
+
+    Null texts stay as empty ones, repeated rows lose what the first one
+    keeps, and n_chars follows a changed text. An empty table stays empty.
+    """
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
+    left = linededup.remove_repeated_lines(docs.select("doc_id", "text", others.alias("row"))).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     own = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
     if "n_chars" in own:
         own["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(own["n_chars"])
@@ -41,28 +48,35 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each near-duplicate class.
+    """Keeps one document of each near-duplicate class, the least by (doc_id, text), null ids last.
 
-    Rows without an id get a large one from their text, so that rows with an
-    id stay before them; of rows with one id the first by text stays.
+    Rows are told apart by doc_id and text, so different texts of one doc_id
+    are different documents; rows equal in both are one. Null and wordless
+    texts are one class. An empty table gives an empty one.
     """
-    hashed = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", hashed).alias("doc_id"))
-    found = simhash.similar_components(rows.select("doc_id", F.col("row.text").alias("text")), SHINGLE, SIMILAR)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy("row.text"))
-    return rows.join(stay, "doc_id", "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*")
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "t").alias("key")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", simhash.text_key(F.col("text")).alias("t"))
+    rows = rows.select(key, "t", "row").groupBy("key", "t").agg(F.first("row").alias("row"))
+    stay = simhash.similar_components(docs, SHINGLE, SIMILAR).where("stays").select(key, "t")
+    return rows.join(stay, ["key", "t"], "left_semi").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws documents to the sources' target weights; one taken twice is two rows."""
+    """Draws documents to the sources' target weights; one taken twice is two rows.
+
+    A null source is a source; null texts have no words. Repeated rows are
+    drawn one by one. An empty table stays empty.
+    """
     rows = docs.select("doc_id", "source", F.struct("*").alias("row"), n_words(F.col("text")).alias("size"))
     drawn = mixing.mix(rows).where("copies > 0")
     return drawn.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE of what is left: tokens and digests of each row."""
+    """Byte-level BPE of what is left: tokens and digests of each row.
+
+    Null is the empty text; repeated rows stay, and an empty table stays empty.
+    """
     return bpe.op5_byte_bpe(docs)
 
 
