@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, slices
+from .common import held, slices, trimmed
 
 #: Pre-tokens of a generation kept with their ids during a task (about 20 MB); the longest kept, in characters.
 KEPT, KEPT_LENGTH = 100_000, 64
@@ -141,18 +141,21 @@ def _parts(batches, path: str, pattern: str):
                 yield t, part
 
 
+@trimmed
 def _encoded(batches, path: str, pattern: str):
     for t, part in _parts(batches, path, pattern):
         ids = [t.encode(x or "") for x in part.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
 
+@trimmed
 def _decoded(batches, path: str, pattern: str):
     for t, part in _parts(batches, path, pattern):
         found = [None if x is None else t.decode(x) for x in part.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["doc_id", "bytes"])
 
 
+@trimmed
 def _digests(batches, path: str, pattern: str):
     sha = hashlib.sha256
     for t, part in _parts(batches, path, pattern):

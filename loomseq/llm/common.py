@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -74,24 +76,34 @@ def slices(batch, size: int = SLICE_BYTES):
         yield batch.slice(i, rows)
 
 
-@contextmanager
-def held(make):
-    """make() for the time of a task; then its memory goes back to the system.
+def trimmed(f):
+    """f, a generator over a task's batches, after which the worker's free memory goes back to the system.
 
     Python workers live on from stage to stage, several to an executor, and
-    what a past task has kept is memory that other tasks lack.
+    what a past task leaves allocated is memory that other tasks lack.
     """
-    import gc
 
-    import pyarrow as pa
+    @wraps(f)
+    def run(batches, *args, **settings):
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())  # the one that a trim reaches
+        try:
+            yield from f(batches, *args, **settings)
+        finally:
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
 
+    return run
+
+
+@contextmanager
+def held(make):
+    """make() for the time of a task, for a trimmed function."""
     found = [make()]
     try:
         yield found[0]
     finally:
         found.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-        if trim:
-            trim(0)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, mix64, settled, slices
+from .common import held, mix64, settled, slices, trimmed
 
 #: The bound of the labelled sample: rows per label. Rows that are broadcast at most.
 SAMPLE, BROADCAST_ROWS = 400, 200_000
@@ -34,7 +34,7 @@ ROWS, LENGTH, PIECE = 1 << 16, 48, 16
 PASSES, AT_ONCE, RATE, DECAY = 6, 1024, 0.35, 1e-4
 SEED = 42
 #: Words kept with their scores during a task; characters of texts worked on at once.
-WORDS_KEPT, CHARS_AT_ONCE, BYTES_AT_ONCE = 100_000, 1_500_000, 1 << 22
+WORDS_KEPT, CHARS_AT_ONCE, BYTES_AT_ONCE = 100_000, 500_000, 3 << 19
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 AROUND = ".,;:!?\"'()[]|"
@@ -278,6 +278,7 @@ def labelled_sample(docs: DataFrame, rows: int = SAMPLE, seed: int = SEED) -> li
     return [(r.text, r.lang) for r in taken.orderBy("lang", "h").collect()]
 
 
+@trimmed
 def _predicted(batches, shared):
     with held(lambda: Model(*pickle.loads(shared.value))) as model:
         for batch in batches:

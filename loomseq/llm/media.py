@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, shared_path, slices
+from .common import byte_rows, shared_path, slices, trimmed
 
 #: Width of the images that hold payloads; rows and columns of a tile; rows of an image that are summed at once.
 WIDTH, TILE, STRIP = 64, (8, 9), 1 << 14
@@ -143,6 +143,7 @@ def npy(tile: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+@trimmed
 def _stored(batches, form: str):
     put = {"pgm": encode_pgm, "bmp": encode_bmp}[form]
     for batch in batches:
@@ -153,6 +154,7 @@ def _stored(batches, form: str):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
+@trimmed
 def _read(batches):
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
     for batch in batches:

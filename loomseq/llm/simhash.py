@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, settled, slices
+from .common import byte_rows, settled, slices, trimmed
 from .graph import connected_components
 
 #: The generator of the (23, 12) Golay code, and XXH64's seed.
@@ -50,6 +50,8 @@ LINK_BITS = 4
 CELLS, SAMPLED, COMMON = 1 << 20, 16, 4
 #: Bits of the map of texts that pairs ask for; texts that a task remembers having had.
 BITS, SEEN = 1 << 26, 500_000
+#: Pairs of one text that are compared in one part.
+SPREAD = 128
 
 
 @cache
@@ -155,6 +157,7 @@ def fingerprint(text: bytes | None, width: int) -> int:
     return majority(shingle_hashes(text, width))
 
 
+@trimmed
 def _fingerprints(batches, width: int):
     for batch in batches:
         for part in slices(batch):
@@ -190,6 +193,7 @@ def _new_rows(batches, col: int = 0):
             yield part if all(new) else part.filter(pa.array(new, pa.bool_()))
 
 
+@trimmed
 def _similar(batches, width: int, least: float):
     """Pairs (a, b, ta, tb), in runs of one a, whose texts are similar."""
     at, x = None, None
@@ -203,6 +207,7 @@ def _similar(batches, width: int, least: float):
             yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
+@trimmed
 def _cells(batches, width: int):
     """In how many texts (t, text) there is a shingle of each cell of the hashes."""
     counts = np.zeros(CELLS, np.int64)
@@ -213,6 +218,7 @@ def _cells(batches, width: int):
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["cell", "n"])
 
 
+@trimmed
 def _prefixes(batches, width: int, least: float, cells: np.ndarray, levels: np.ndarray):
     """Postings (key, t, n, score) of the first shingles of each text, in one order for all texts: common ones last.
 
@@ -238,6 +244,7 @@ def _prefixes(batches, width: int, least: float, cells: np.ndarray, levels: np.n
             yield pa.RecordBatch.from_arrays(columns, ["key", "t", "n", "score"])
 
 
+@trimmed
 def _shared(batches):
     """Rows (key, t, n) sorted by key in, equal ones side by side; each once, and only those whose key has another t."""
     last, again = None, False  # the last row so far, not out yet, and if its key has had another
@@ -270,6 +277,7 @@ def _pairs(a: np.ndarray, b: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need)], ["a", "b", "need"])
 
 
+@trimmed
 def _hub_pairs(batches, least: float):
     """Rows (key, t, n) sorted by key in; each row with the first of its key, if near enough in size."""
     key, text, size = None, 0, 0
@@ -285,6 +293,7 @@ def _hub_pairs(batches, least: float):
         yield _pairs(w[near], hub[near], (_need(n[near], hub_n[near], least) + 1) // 2)
 
 
+@trimmed
 def _among(batches, slots: np.ndarray, bits: np.ndarray):
     """Rows (t, text) whose t may be among those of a bitmap of BITS bits."""
     bitmap = np.zeros(BITS // 64, np.uint64)
@@ -299,6 +308,7 @@ def _among(batches, slots: np.ndarray, bits: np.ndarray):
     yield from _new_rows(some())
 
 
+@trimmed
 def _apart_pairs(batches, least: float):
     """Rows (key, t, n, comp) sorted by key in; pairs of a key in different components, near enough in size, out."""
 
@@ -340,6 +350,7 @@ def _apart_pairs(batches, least: float):
         yield from pairs([np.concatenate(c) for c in zip(*tail)])
 
 
+@trimmed
 def _keyed(batches):
     for batch in batches:
         whole = batch.column(0).to_numpy().view(np.uint64)
@@ -396,6 +407,7 @@ def _edges(left: np.ndarray, right: np.ndarray | None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(left.view(np.int64)), b], ["a", "b"])
 
 
+@trimmed
 def _bucket_links(batches, bucket: int):
     """Rows sorted by key in; links (a, b) out, and (a, null) for members of large buckets."""
     empty = np.zeros(0, np.uint64)
@@ -424,6 +436,7 @@ def _bucket_links(batches, bucket: int):
         yield _edges(*_links_of(tail_k, tail_f))
 
 
+@trimmed
 def _midpoints(batches):
     one = np.uint64(1) << np.arange(64, dtype=np.uint64)
     i, j = np.triu_indices(64, 1)
@@ -436,6 +449,7 @@ def _midpoints(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(fp, len(ball)).view(np.int64))], ["key", "fp"])
 
 
+@trimmed
 def _chain(batches):
     """Rows sorted by key in; each row linked to the first of its key."""
     key = first = None
@@ -518,12 +532,19 @@ def similar_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> D
     texts = given.select("t", "text")
 
     def verified(asked: DataFrame) -> DataFrame:
+        ends: dict[str, DataFrame] = {}
         asked = settled(asked.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b"))
         # only the texts that some pair asks for, and few others, are shuffled
         cells = asked.select(F.explode(F.array("a", "b")).alias("id")).select(F.pmod("id", F.lit(BITS)).alias("cell"))
         slots = cells.groupBy(F.shiftright("cell", 6).alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(cell & 63 AS int)))").alias("bits")).toArrow()
         some = texts.mapInArrow(partial(_among, slots=slots["slot"].to_numpy(), bits=slots["bits"].to_numpy()), texts.schema).dropDuplicates(["t"])
-        pairs = asked.join(some.toDF("b", "tb"), "b").join(some.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
+        # a text in many pairs goes to as many parts as these are dealt to
+        for end, other in (("a", "b"), ("b", "a")):
+            many = settled(asked.groupBy(end).agg(F.ceil(F.count("*") / SPREAD).cast("long").alias(f"parts_{end}")))
+            asked = asked.join(many, end).withColumn(f"part_{end}", F.pmod(F.xxhash64(other), F.col(f"parts_{end}"))).drop(f"parts_{end}")
+            each = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"parts_{end}") - 1)).alias(f"part_{end}")
+            ends[end] = some.toDF(end, f"t{end}").join(many, end).select(end, f"t{end}", each)
+        pairs = asked.join(ends["b"], ["b", "part_b"]).join(ends["a"], ["a", "part_a"]).select("a", "b", "ta", "tb")
         return settled(pairs.mapInArrow(partial(_similar, width=width, least=least), "a long, b long"))
 
     sample = texts.where(F.pmod("t", F.lit(SAMPLED)) == 0)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_rows, delete_path, settled, shared_path, slices
+from .common import byte_rows, delete_path, settled, shared_path, slices, trimmed
 
 #: The least payload that is worth a revisit; digests that a task remembers having had.
 MIN_REVISIT, SEEN = 100, 200_000
@@ -28,6 +28,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID = "urn:x-page:"
 
 
+@trimmed
 def _packed(batches):
     """Digest of each payload, and the payload deflated where this task hasn't had it yet; a few may come again."""
     seen: set[bytes] = set()
@@ -101,6 +102,7 @@ def write_archive(pages: DataFrame, path: str) -> None:
     delete_path(spark, f"{path}/made")
 
 
+@trimmed
 def _joined(batches):
     for batch in batches:
         for b in slices(batch):
