@@ -141,9 +141,13 @@ def read_expression_matrix(spark: SparkSession, path: str, delimiter: str = "\t"
     return body.select("gene", F.get("names", F.col("col") + 1).alias("cell"), F.col("col").cast("long").alias("col"), _number(F.trim("text"), "double", 0.0).alias("value"))
 
 
-def read_gz(spark: SparkSession, path: str) -> DataFrame:
-    """(value): a text file, plain or gzip with any number of members, as one row, so of 2 GB at most; read_lines has no bound."""
-    return spark.read.text(path, wholetext=True)
+def read_gz(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(value): a text file, plain or gzip with any number of members, as one row, so of 2 GB at most.
+
+    With lines a row is what stands before or between line feeds: no row is
+    as large as a file, and an empty file has none.
+    """
+    return spark.read.text(path, lineSep="\n") if lines else spark.read.text(path, wholetext=True)
 
 
 def write_gz(lines: DataFrame, path: str) -> None:

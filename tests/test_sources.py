@@ -134,6 +134,26 @@ def test_fasta_and_matrix(spark, put):
     assert T.read_gz(spark, put("t.gz", "one\ntwo\n")).first().value == "one\ntwo\n"
 
 
+@pytest.mark.parametrize("name", ["write_gz", "read_gz"])
+def test_gz_of_a_task_without_rows(spark, tmp_path, name):
+    """A row group belongs to the task that has its middle, so a file's first task may have no rows; Spark then writes an empty file."""
+    from loomseq.plans.registry import queries
+
+    orders = spark.range(5000).selectExpr("id AS o_orderkey", "id % 9 AS o_custkey", "'F' AS o_orderstatus")
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    size = str(max(f.stat().st_size for f in (tmp_path / "orders.parquet").glob("part-*")) // 4)
+    conf = {"spark.sql.files.maxPartitionBytes": size, "spark.sql.files.openCostInBytes": size}
+    was = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        lines = [r.line for r in queries()[name](spark, str(tmp_path)).collect()]
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert len(lines) == 5000 and "" not in lines
+
+
 def test_matrix_market(spark, tmp_path):
     e = spark.createDataFrame([(1, 0, 2.0), (0, 1, 0.0), (0, 0, 1.5)], "row long, col long, value double")
     assert T.write_matrix_market(e, 2, 2, str(tmp_path / "m")) == 2
