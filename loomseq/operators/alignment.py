@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.alignment import hamming_distance
+from .copies import sliced, spread
 
 ALIGNED = "a string, b string, score int"
 OUT_OF_BAND = -(1 << 30)
@@ -185,29 +186,41 @@ def distance_matrix(df: DataFrame, metric: str = "hamming", unequal: int = 999)
 
 
 def _by_pieces(left: DataFrame, right: DataFrame, pieces: int) -> DataFrame:
-    """Candidate pairs of equal-length texts that differ in fewer than pieces places: one of their pieces is equal."""
+    """Candidate pairs, each once, of equal-length texts that differ in fewer than pieces places: one of their pieces is equal."""
+
+    def edge(text: Column, k: int) -> Column:
+        return F.floor(F.length(text) * k / pieces).cast("int")
+
+    def piece(text: Column, k: int) -> Column:
+        return F.substring(text, edge(text, k) + 1, edge(text, k + 1) - edge(text, k))
 
     def cut(df: DataFrame, name: str) -> DataFrame:
-        n = F.length(name)
-        edge = lambda k: F.floor(n * k / pieces).cast("int")
-        parts = F.array(*[F.struct(F.lit(k).alias("k"), F.substring(F.col(name), edge(k) + 1, edge(k + 1) - edge(k)).alias("part")) for k in range(pieces)])
-        return df.withColumns({"len_": n, "piece_": F.explode(parts)})
+        x = F.col(name)
+        parts = F.array(*[F.struct(F.lit(k).alias("k"), piece(x, k).alias("part")) for k in range(pieces)])
+        return df.withColumns({"len_": F.length(x), "piece_": F.explode(parts)})
 
     a, b = cut(left, "barcode"), cut(right, "entry")
     b = b.withColumnsRenamed({"len_": "len2_", "piece_": "piece2_"})
-    return a.join(b, (a.len_ == b.len2_) & (a.piece_ == b.piece2_)).drop("len_", "len2_", "piece_", "piece2_").distinct()
+    x, y = F.col("barcode"), F.col("entry")
+    # of the pieces that a pair shares, the first makes its row
+    first = F.coalesce(*[F.when(piece(x, k) == piece(y, k), F.lit(k)) for k in range(pieces)])
+    rows = a.join(b, (a.len_ == b.len2_) & (a.piece_ == b.piece2_)).where(first == F.col("piece_.k"))
+    return rows.drop("len_", "len2_", "piece_", "piece2_")
 
 
 def barcode_rescue(barcodes: DataFrame, whitelist: DataFrame, max_hamming: int) -> DataFrame:
     """(barcode, w_idx, entry, distance): whitelist entries (idx, entry) of equal length at most so far.
 
     Cut in max_hamming + 1 pieces, two such texts have an equal piece: the
-    join is on the pieces, with no pair that shares none.
+    join is on the pieces, with no pair that shares none, and between
+    different texts; the rows of an entry are put back at the end.
     """
-    w = whitelist.select(F.col("idx").alias("w_idx"), "entry")
-    rows = _by_pieces(barcodes.select("barcode").distinct(), w, max_hamming + 1)
-    rows = rows.withColumn("distance", hamming_distance("barcode", "entry", on_error="null"))
-    return rows.where(F.col("distance") <= max_hamming)
+    w = whitelist.select(F.col("idx").alias("w_idx"), "entry").where("entry is not null")
+    own = barcodes.select("barcode").where("barcode is not null").distinct()
+    rows = _by_pieces(spread(own, "barcode"), w.select("entry").distinct(), max_hamming + 1)
+    rows = rows.withColumn("distance", hamming_distance("barcode", "entry", on_error="null")).where(F.col("distance") <= max_hamming)
+    rows = spread(rows).join(sliced(w, "entry", "w_idx"), "entry")
+    return rows.select("barcode", F.explode("members.w_idx").alias("w_idx"), "entry", "distance")
 
 
 def correct_barcode(barcodes: DataFrame, whitelist: DataFrame, max_distance: int) -> DataFrame:
