@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.alignment import hamming_distance
-from .copies import sliced, spread
+from .copies import member, once, sliced, spread
 
 ALIGNED = "a string, b string, score int"
 OUT_OF_BAND = -(1 << 30)
@@ -163,26 +163,24 @@ def banded_alignment(a, b, bandwidth: int, match: int = 1, mismatch: int = -1, g
     return run(a, b)
 
 
-def _pairs(df: DataFrame) -> DataFrame:
-    x, y = df.select(F.col("idx").alias("i"), F.col("seq").alias("x")), df.select(F.col("idx").alias("j"), F.col("seq").alias("y"))
-    return x.join(y, x.i < y.j)
-
-
 def distance_matrix(df: DataFrame, metric: str = "hamming", unequal: int = 999) -> DataFrame:
     """(i, j, distance) for all pairs of (idx, seq), both ways and with the diagonal.
 
     The result is quadratic by its nature. Sequences of unequal lengths are
-    at Hamming distance unequal.
+    at Hamming distance unequal. Distances are of slices of equal sequences,
+    so one is worked out once for up to SLICE * SLICE pairs.
     """
-    pairs = _pairs(df)
+    slices = sliced(df.select("idx", "seq"), "seq", "idx")
+    x, y = slices.toDF("x", "i"), slices.toDF("y", "j")
     if metric == "levenshtein":
-        d = F.levenshtein("x", "y").cast("long")
+        # as a function over an array, so its code stays out of the loops over members, which are then compiled
+        pair = F.array(F.struct("x", "y"))
+        d = F.transform(pair, lambda p: F.levenshtein(p["x"], p["y"]).cast("long"))[0]
     else:
         d = F.coalesce(hamming_distance("x", "y", on_error="null"), F.lit(unequal).cast("long"))
-    from .kmers import symmetric
-
-    own = df.select(F.col("idx").alias("i"), F.col("idx").alias("j"), F.lit(0).cast("long").alias("distance"))
-    return symmetric(pairs.select("i", "j", d.alias("distance")), "distance", own)
+    rows = spread(x).crossJoin(y).select("i", "j", once(d).alias("distance"))
+    rows = rows.select(member("i", "idx"), "j", "distance").select("i", member("j", "idx"), "distance")
+    return rows.select("i", "j", F.when(F.col("i") == F.col("j"), F.lit(0).cast("long")).otherwise(F.col("distance")).alias("distance"))
 
 
 def _by_pieces(left: DataFrame, right: DataFrame, pieces: int) -> DataFrame:
