@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kmers import distinct_kmers
 from ..functions.sequence import ratio, reverse_complement
+from .copies import sliced, spread
 
 
 def tokenise(df: DataFrame, k: int, canonical: bool = False) -> DataFrame:
@@ -69,10 +70,32 @@ def symmetric(pairs: DataFrame, value: str, diagonal: DataFrame) -> DataFrame:
     return pairs.select("i", "j", value).union(back).union(diagonal.select("i", "j", value))
 
 
-def jaccard_matrix(df: DataFrame, k: int) -> DataFrame:
-    """(i, j, jaccard) of the dense matrix's entries that are not 0, 1 on the diagonal."""
-    own = df.select(F.col("idx").alias("i"), F.col("idx").alias("j"), F.lit(1.0).alias("jaccard"))
-    return symmetric(jaccard_pairs(df, k), "jaccard", own)
+def _shown(value: Column, digits: int | None) -> Column:
+    return value if digits is None else F.round(value, digits)
+
+
+def _texts(df: DataFrame) -> DataFrame:
+    """(idx, seq, n): the different sequences of (idx, seq), each numbered by its least idx, and how many rows have it."""
+    return df.groupBy(F.upper("seq").alias("seq")).agg(F.min("idx").alias("idx"), F.count("*").alias("n"))
+
+
+def jaccard_matrix(df: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+    """(i, j, jaccard) of the dense matrix's entries that are not 0, 1 on the diagonal; rounded to digits, if given.
+
+    K-mers are compared between different sequences; their rows are put back
+    at the end, when a pair of slices becomes its rows without a shuffle.
+    """
+    one = _texts(df)
+    filled = F.size(distinct_kmers("seq", k)) > 0
+    own = one.where(filled).select(F.col("idx").alias("i"), F.col("idx").alias("j"), F.lit(1.0).alias("jaccard"))
+    pairs = symmetric(jaccard_pairs(one, k), "jaccard", own).withColumn("jaccard", _shown(F.col("jaccard"), digits))
+    rows = df.select(F.col("idx").alias("key"), F.upper("seq").alias("seq")).join(one, "seq").select("idx", "key")
+    slices = sliced(rows, "idx", "key")
+    wide = spread(pairs.join(slices.toDF("i", "x"), "i")).join(slices.toDF("j", "y"), "j")
+    rows = wide.select(F.explode("x.key").alias("i"), "y", "jaccard").select("i", F.explode("y.key").alias("j"), "jaccard")
+    # a sequence without k-mers is like itself only
+    bare = df.where(~F.coalesce(filled, F.lit(False))).select(F.col("idx").alias("i"), F.col("idx").alias("j"), F.lit(1.0).alias("jaccard"))
+    return rows.union(bare)
 
 
 def marker_gene_match(queries: DataFrame, markers: DataFrame, k: int, threshold: float) -> DataFrame:

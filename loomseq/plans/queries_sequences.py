@@ -205,7 +205,7 @@ _add(
 )
 _add(
     "parallel_jaccard_matrix",
-    lambda spark, d: OK.jaccard_matrix(view(spark, d, "g_taxa"), 4).withColumn("jaccard", F.round("jaccard", 9)),
+    lambda spark, d: OK.jaccard_matrix(view(spark, d, "g_taxa"), 4, digits=9),
     f"WITH q AS ({_words(4, 'g_taxa')}), r AS (SELECT * FROM q), {JACCARD} SELECT i, j, round(CASE WHEN i = j THEN 1.0 ELSE jaccard END, 9) AS jaccard FROM p",
 )
 _add(
