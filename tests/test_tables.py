@@ -243,3 +243,44 @@ def test_matrices(spark):
     assert M.cell_qc(spark.createDataFrame([], "counts long, genes long")).first().n_cells == 0
     tags = spark.createDataFrame([(0, 0, "a", 5.0), (0, 1, "b", 5.0), (1, 0, "a", 1.0)], "cell long, tag_idx long, tag string, value double")
     assert {r.cell: r.tag for r in M.demux_tags(tags, 2.0).collect()} == {0: "a", 1: "unknown"}
+
+
+def test_pairs_of_copies(spark, monkeypatch):
+    """Rows with equal texts are compared once, and no pair of them is lost, whatever the slices."""
+    from loomseq.operators import copies
+
+    monkeypatch.setattr(copies, "SLICE", 2)
+    r = random.Random(5)
+    texts = ["".join(r.choice("ACGT") for _ in range(12)) for _ in range(4)] + ["acgtacgtacgt", "ACGTACGTACGT", "AC", "ACGTT"]
+    rows = [(i, texts[i % 8], f"m{i}") for i in range(37)]
+    df = spark.createDataFrame(rows, "idx long, seq string, name string")
+    words = lambda s, k: {s.upper()[i : i + k] for i in range(len(s) - k + 1)}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+    want = sorted((i, j, 1.0 if i == j else round(like(words(s, 3), words(t, 3)), 9)) for i, s, _ in rows for j, t, _ in rows if i == j or words(s, 3) & words(t, 3))
+    assert sorted(map(tuple, K.jaccard_matrix(df, 3, digits=9).collect())) == want
+    apart = lambda s, t: sum(a != b for a, b in zip(s, t)) if len(s) == len(t) else 999
+    assert sorted(map(tuple, A.distance_matrix(df).collect())) == sorted((i, j, apart(s, t)) for i, s, _ in rows for j, t, _ in rows)
+    edits = {(x.i, x.j): x.distance for x in A.distance_matrix(df, "levenshtein").collect()}
+    assert len(edits) == 37 * 37 and all(edits[i, j] == edits[j, i] for i, j in edits) and edits[6, 7] == 3 and edits[0, 8] == 0
+    reads = spark.createDataFrame([(100 + i, "".join(r.choice("ACGT") for _ in range(20))) for i in range(9)] + [(200, None)], "idx long, seq string")
+    for least in (0.1, 0.0):
+        got = sorted(map(tuple, K.marker_gene_match(reads, df, 3, least, digits=9).collect()))
+        pairs = [(q.idx, n, round(like(words(q.seq or "", 3), words(s, 3)), 9)) for q in reads.collect() for _, s, n in rows]
+        assert got == sorted(p for p in pairs if p[2] >= least)
+    reference = df.select(F.explode(F.array(*[F.substring("seq", i, 3) for i in (1, 2, 3, 4)])).alias("kmer"), F.col("name").alias("taxon")).where("length(kmer) = 3").distinct()
+    known = [tuple(x) for x in reference.collect()]
+    got = {(x.idx, x.taxon): x.score for x in K.kmer_classify(reads, reference, 3).collect()}
+    for q in reads.collect():
+        hits = [t for w, t in known if w in words(q.seq or "", 3)]
+        assert {t: s for (i, t), s in got.items() if i == q.idx} == {t: pytest.approx(hits.count(t) / len(hits)) for t in hits}
+
+
+def test_few_rows_become_many_in_many_tasks(spark):
+    """The copies' pairs are made by all tasks, and no pair is shuffled."""
+    df = spark.range(1200).selectExpr("id AS idx", "if(id % 2 = 0, 'ACGTACGT', 'ACGTTTTT') AS seq", "concat('m', id) AS name")
+    white = df.selectExpr("idx", "seq AS entry")
+    for rows in (K.jaccard_matrix(df, 4), A.distance_matrix(df), A.distance_matrix(df, "levenshtein"), A.barcode_rescue(df.selectExpr("seq AS barcode"), white, 8), K.marker_gene_match(df, df, 4, 0.05)):
+        assert rows.count() >= 2400
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        final = plan[plan.index("Final Plan") : plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+        assert "Generate explode" in final.split("Exchange")[0]
