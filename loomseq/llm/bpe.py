@@ -11,6 +11,7 @@ of n bytes takes O(n log n) whatever its length; nothing is cut.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from functools import partial
 from heapq import heappop, heappush
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import held, slices, trimmed
 
-#: Pre-tokens of a generation kept with their ids during a task (about 20 MB); the longest kept, in characters.
-KEPT, KEPT_LENGTH = 100_000, 64
+#: Pre-tokens of a generation kept with their ids during a task (about 60 MB); the longest kept, in characters.
+KEPT, KEPT_LENGTH = 300_000, 64
+#: The bits of a word.
+BIT = [1 << i for i in range(256)]
 
 
 def merge_ranks(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -33,58 +36,81 @@ def merge_ranks(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    after, before, rank_at = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-    buckets: dict[int, list[int]] = {}
+    get = ranks.get
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    rank_at = [get(piece[i : i + 2], -1) for i in before[1:]]
+    rank_at.append(-1)
+    live = n - rank_at.count(-1)  # without one, all that is left in the queue is stale
+    buckets: dict[int, int | list[int]] = {}  # one position, or a heap of several
     words: dict[int, int] = {}
     top = 0
-    get = ranks.get
-    for i in range(n - 1):
-        r = get(piece[i : i + 2])
-        if r is not None:
-            rank_at[i] = r
+    for i, r in enumerate(rank_at):
+        if r >= 0:
             if r in buckets:
-                buckets[r].append(i)  # ascending, so a heap already
+                some = buckets[r]
+                if some.__class__ is int:
+                    buckets[r] = [some, i]
+                else:
+                    some.append(i)  # ascending, so a heap already
             else:
-                buckets[r] = [i]
-                words[r >> 8] = words.get(r >> 8, 0) | 1 << (r & 255)
-                top |= 1 << (r >> 8)
-    while top:
+                buckets[r] = i
+                high = r >> 8
+                if high in words:
+                    words[high] |= BIT[r & 255]
+                else:
+                    words[high] = BIT[r & 255]
+                    top |= 1 << high
+    while live:
         high = (top & -top).bit_length() - 1
         word = words[high]
         r = high << 8 | (word & -word).bit_length() - 1
-        bucket = buckets[r]
-        i = heappop(bucket)
-        if not bucket:
+        i = buckets[r]
+        if i.__class__ is not int:
+            some = i
+            i = heappop(some)
+            if len(some) == 1:
+                buckets[r] = some[0]
+        else:
             del buckets[r]
             word &= word - 1
-            words[high] = word
-            if not word:
+            if word:
+                words[high] = word
+            else:
+                del words[high]
                 top &= top - 1
         if rank_at[i] != r:
             continue  # stale
         gone = after[i]
         end = after[gone]
         after[i] = end
+        live -= 2 if rank_at[gone] >= 0 else 1
         rank_at[gone] = rank_at[i] = -1
-        if end < n:
-            before[end] = i
-            changed = (before[i], i)
-        else:
-            changed = (before[i],)
-        for at in changed:
-            if at < 0:
-                continue
-            new = get(piece[at : after[after[at]]])
-            if new is None:
-                rank_at[at] = -1
-                continue
-            rank_at[at] = new
-            if new in buckets:
-                heappush(buckets[new], at)
-            else:
-                buckets[new] = [at]
-                words[new >> 8] = words.get(new >> 8, 0) | 1 << (new & 255)
-                top |= 1 << (new >> 8)
+        at, to = before[i], end
+        while True:  # the pair that ends with the merged range, then the one that begins with it
+            if at >= 0:
+                if rank_at[at] >= 0:
+                    live -= 1
+                rank_at[at] = new = get(piece[at:to], -1)
+                if new >= 0:
+                    live += 1
+                    if new in buckets:
+                        some = buckets[new]
+                        if some.__class__ is int:
+                            buckets[new] = [some, at] if some < at else [at, some]
+                        else:
+                            heappush(some, at)
+                    else:
+                        buckets[new] = at
+                        high = new >> 8
+                        if high in words:
+                            words[high] |= BIT[new & 255]
+                        else:
+                            words[high] = BIT[new & 255]
+                            top |= 1 << high
+            if at == i or end == n:
+                break
+            before[end] = at = i
+            to = after[end]
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
@@ -136,9 +162,13 @@ class Tokenizer:
 def _parts(batches, path: str, pattern: str):
     """The tokenizer with each part of each batch; what it has kept goes when the task ends."""
     with held(lambda: Tokenizer(path, pattern)) as t:
-        for batch in batches:
-            for part in slices(batch):
-                yield t, part
+        gc.disable()  # nothing here is cyclic, and each look at what is kept costs as much as it has grown
+        try:
+            for batch in batches:
+                for part in slices(batch):
+                    yield t, part
+        finally:
+            gc.enable()
 
 
 @trimmed

@@ -677,3 +677,14 @@ def test_code_switching():
     model = langid.Model(["aa", "bb"], *langid.train(texts, ["aa", "bb"]))
     p, letters, _ = model.words(["the thing was of der und nicht schon"])
     assert letters.all() and p.argmax(axis=1).tolist() == [0] * 4 + [1] * 4
+
+
+def test_bpe_merges_a_repeated_pretoken_once(monkeypatch):
+    """A task's usual number of different pre-tokens fits what is kept, so one that comes again isn't merged again."""
+    from loomseq.llm import bpe
+
+    merged = []
+    monkeypatch.setattr(bpe, "merge_ranks", lambda piece, ranks: merged.append(piece) or [0])
+    kept = bpe._Kept({})
+    words = [f" w{i}" for i in range(250_000)]
+    assert all(kept[w] == (0,) for w in words * 2) and len(merged) == len(words)
