@@ -98,6 +98,19 @@ def trimmed(f):
     return run
 
 
+def freed(spark: SparkSession) -> None:
+    """Gives the driver's free memory back, its Python's and its JVM's.
+
+    Broadcasts, shuffles and checkpoints that no plan names any more go only
+    when the JVM collects; many short jobs pile them up.
+    """
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def held(make):
     """make() for the time of a task, for a trimmed function."""

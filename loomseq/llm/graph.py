@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import freed, settled
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         twice = now.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
         inner = now.select("a").join(now.select(F.col("b").alias("a")), "a", "left_semi")
         more = twice.union(inner)
-        if more.isEmpty():
+        done = more.isEmpty()
+        freed(edges.sparkSession)
+        if done:
             break
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     return stars.union(stars.select(F.col("comp").alias("node"), "comp").distinct())

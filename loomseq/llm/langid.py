@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, mix64, settled, slices, trimmed
+from .common import freed, held, mix64, settled, slices, trimmed
 
 #: The bound of the labelled sample: rows per label. Rows that are broadcast at most.
 SAMPLE, BROADCAST_ROWS = 400, 200_000
@@ -301,6 +301,7 @@ def identify(docs: DataFrame, training: DataFrame, rows: int = SAMPLE) -> DataFr
     sample = labelled_sample(training, rows)
     labels = sorted({lang for _, lang in sample})
     weights, moves = train(sample, labels)
+    freed(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((labels, weights.astype(np.float32), moves)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
     return docs.mapInArrow(lambda b: _predicted(b, shared), schema)

@@ -688,3 +688,12 @@ def test_bpe_merges_a_repeated_pretoken_once(monkeypatch):
     kept = bpe._Kept({})
     words = [f" w{i}" for i in range(250_000)]
     assert all(kept[w] == (0,) for w in words * 2) and len(merged) == len(words)
+
+
+def test_components_give_the_drivers_memory_back(spark, monkeypatch):
+    from loomseq.llm import graph
+
+    rounds = []
+    monkeypatch.setattr(graph, "freed", lambda session: rounds.append(session))
+    found = graph.connected_components(spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long"))
+    assert {r.node: r.comp for r in found.collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7} and rounds
