@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, settled, slices, trimmed
+from .common import byte_rows, delete_path, settled, shared_path, slices, trimmed
 from .graph import connected_components
 
 #: The generator of the (23, 12) Golay code, and XXH64's seed.
@@ -52,6 +52,8 @@ CELLS, SAMPLED, COMMON = 1 << 20, 16, 4
 BITS, SEEN = 1 << 26, 500_000
 #: Pairs of one text that are compared in one part.
 SPREAD = 128
+#: Bits of the sketch of a set; a shingle of more texts than this is in many.
+SKETCH, FEW = 1024, 16
 
 
 @cache
@@ -165,15 +167,17 @@ def _fingerprints(batches, width: int):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
 
-def _prints(batches, width: int):
-    return _fingerprints(_new_rows(batches), width)
-
-
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     """The distinct shingle hashes of a text, sorted."""
     return np.unique(shingle_hashes(text, width))
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """The parity of a set's hashes in each of SKETCH cells: two sets differ in as many hashes as their sketches in bits, at least."""
+    odd = np.bincount((x % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     """The Jaccard index of two sorted sets; 1 if both are empty."""
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -193,6 +197,16 @@ def _new_rows(batches, col: int = 0):
             yield part if all(new) else part.filter(pa.array(new, pa.bool_()))
 
 
+@trimmed
+def _prints(batches, width: int):
+    """(t, fp, sketch) of texts (t, text)."""
+    for batch in _new_rows(batches):
+        hashes = [shingle_hashes(t, width) for t in byte_rows(batch.column(1))]
+        fps = np.array([majority(h) for h in hashes], np.uint64)
+        sketches = pa.array([sketch(np.unique(h)) for h in hashes], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), sketches], ["t", "fp", "sketch"])
+
+
 @trimmed
 def _similar(batches, width: int, least: float):
     """Pairs (a, b, ta, tb), in runs of one a, whose texts are similar."""
@@ -308,46 +322,102 @@ def _among(batches, slots: np.ndarray, bits: np.ndarray):
     yield from _new_rows(some())
 
 
-@trimmed
-def _apart_pairs(batches, least: float):
-    """Rows (key, t, n, comp) sorted by key in; pairs of a key in different components, near enough in size, out."""
+def _columns(batch) -> list[np.ndarray]:
+    """Columns (key, t, n, comp) as arrays; a sketch, if there is one, as a row of words."""
+    found = [batch.column(i).to_numpy() for i in range(4)]
+    if batch.num_columns > 4:
+        found.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(batch.num_rows, -1))
+    return found
 
-    def pairs(rows: list[np.ndarray]):
-        k, w, n, c = rows
+
+def _mixed_keys(batches):
+    """Rows (key, t, n, comp, ...) sorted by key in; arrays of the rows of each key of several components out, by n and t."""
+
+    def keys(rows: list[np.ndarray]):
+        k, w, n, c = rows[:4]
         starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        found, held_back = [], 0
         for s, e in zip(starts, np.append(starts[1:], len(k))):
-            if e - s < 2 or (c[s:e] == c[s]).all():
-                continue
-            order = np.argsort(n[s:e], kind="stable") + s
-            bw, bn, bc = w[order], n[order], c[order]
-            ends = np.searchsorted(bn, bn / least + 1e-6, side="right")
-            for i in range(len(bw) - 1):
-                apart = bc[i + 1 : ends[i]] != bc[i]
-                other = bw[i + 1 : ends[i]][apart]
-                if len(other):
-                    found.append((np.full(len(other), bw[i]), other, _need(np.full(len(other), bn[i]), bn[i + 1 : ends[i]][apart], least)))
-                    held_back += len(other)
-                if held_back > 1 << 16:
-                    yield _pairs(*map(np.concatenate, zip(*found)))
-                    found, held_back = [], 0
-        if found:
-            yield _pairs(*map(np.concatenate, zip(*found)))
+            if e - s > 1 and (c[s:e] != c[s]).any():
+                order = np.lexsort((w[s:e], n[s:e])) + s
+                yield [x[order] for x in rows[1:]]
 
     tail: list = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        tail.append([batch.column(i).to_numpy() for i in range(4)])
+        tail.append(_columns(batch))
         k = tail[-1][0]
         if k[-1] == tail[0][0][0]:
             continue  # still one key
         rows = [np.concatenate(c) for c in zip(*tail)]
         last = len(rows[0]) - int(np.argmax(rows[0][::-1] != rows[0][-1]))
-        yield from pairs([c[:last] for c in rows])
+        yield from keys([c[:last] for c in rows])
         tail = [[c[last:] for c in rows]]
     if tail:
-        yield from pairs([np.concatenate(c) for c in zip(*tail)])
+        yield from keys([np.concatenate(c) for c in zip(*tail)])
+
+
+def _sketch_bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the sketches x differ from the sketch y."""
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+
+
+def _most_bits(n: np.ndarray, m: int, least: float) -> np.ndarray:
+    """In how many hashes similar sets of sizes n and m differ at most."""
+    return (n + m) * ((1 - least) / (1 + least)) + 1e-6
+
+
+@trimmed
+def _apart_pairs(batches, least: float):
+    """Rows (key, t, n, comp), sorted by key, in; pairs of a key in different components, near enough in size, out.
+
+    With a sketch as fifth column, without the pairs whose sketches show that they aren't similar.
+    """
+    found, held_back = [], 0
+    for w, n, c, *sketches in _mixed_keys(batches):
+        ends = np.searchsorted(n, n / least + 1e-6, side="right")
+        for i in range(len(w) - 1):
+            at = np.arange(i + 1, ends[i])[c[i + 1 : ends[i]] != c[i]]
+            if sketches and len(at):
+                at = at[_sketch_bits(sketches[0][at], sketches[0][i]) <= _most_bits(n[at], n[i], least)]
+            if len(at):
+                found.append((np.full(len(at), w[i]), w[at], _need(np.full(len(at), n[i]), n[at], least)))
+                held_back += len(at)
+            if held_back > 1 << 16:
+                yield _pairs(*map(np.concatenate, zip(*found)))
+                found, held_back = [], 0
+    if found:
+        yield _pairs(*map(np.concatenate, zip(*found)))
+
+
+@trimmed
+def _class_pairs(batches, least: float):
+    """Rows (key, t, n, comp, sketch), sorted by key, in; of each key a forest out that spans the components.
+
+    Its edges are pairs that may be similar by their sketches, so there are
+    fewer than rows. From each text reached it takes the nearest of each
+    component not reached yet.
+    """
+    for w, n, c, sketches in _mixed_keys(batches):
+        found, rest = [], np.arange(len(w))
+        while len(rest):
+            own = c[rest] == c[rest[0]]
+            front, rest = rest[own].tolist(), rest[~own]
+            while front and len(rest):
+                x = front.pop()
+                bits = _sketch_bits(sketches[rest], sketches[x])
+                sized = np.minimum(n[rest], n[x]) >= least * np.maximum(n[rest], n[x]) - 1e-6
+                near = np.flatnonzero((bits <= _most_bits(n[rest], n[x], least)) & sized)
+                if len(near):
+                    near = rest[near[np.argsort(bits[near], kind="stable")]]
+                    new = near[np.unique(c[near], return_index=True)[1]]
+                    found.append((np.full(len(new), w[x]), w[new]))
+                    own = np.isin(c[rest], c[new])
+                    front += rest[own].tolist()
+                    rest = rest[~own]
+        if found:
+            a, b = map(np.concatenate, zip(*found))
+            yield _pairs(a, b, np.ones(len(a), np.int64))
 
 
 @trimmed
@@ -396,7 +466,7 @@ def _links_of(k: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left.append(f[near])
         right.append(f[near + step])
     for s, n in zip(starts[sizes > few], sizes[sizes > few]):
-        x, y = _forest(f[s : s + n])
+        x, y = _forest(np.sort(f[s : s + n]))  # buckets that have the same members have the same links
         left.append(np.array(x, np.uint64))
         right.append(np.array(y, np.uint64))
     return np.concatenate(left), np.concatenate(right)
@@ -523,13 +593,18 @@ def similar_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> D
     search is complete: two sets that similar have some of the first
     (1 - least) of their shingles in common, in any order common to all sets,
     and that many (``_need``). The order puts common shingles last, by counts
-    of a sample, which decide the work and not the result. All pairs of a key
-    that aren't connected by then are counted; these grow with the square of
-    what is left unconnected. Texts without words are alike.
+    of a sample, which decide the work and not the result. Of a key that many
+    texts have, first a forest over the components is compared, of pairs whose
+    sketches (``sketch``) allow that they are similar; so a group of near
+    copies without a common centre is linked in as many pairs as it has rows.
+    Then all pairs of a key that aren't connected are counted, of such a key
+    those that the sketches allow. Sketches never rule out a similar pair.
+    Texts without words are alike.
     """
     given = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("t", text_key(F.col("text")))
     rows = settled(given.select("doc_id", "t"))
     texts = given.select("t", "text")
+    written: list[str] = []
 
     def verified(asked: DataFrame) -> DataFrame:
         ends: dict[str, DataFrame] = {}
@@ -545,7 +620,11 @@ def similar_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> D
             each = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"parts_{end}") - 1)).alias(f"part_{end}")
             ends[end] = some.toDF(end, f"t{end}").join(many, end).select(end, f"t{end}", each)
         pairs = asked.join(ends["b"], ["b", "part_b"]).join(ends["a"], ["a", "part_a"]).select("a", "b", "ta", "tb")
-        return settled(pairs.mapInArrow(partial(_similar, width=width, least=least), "a long, b long"))
+        # written and read, as a checkpoint keeps its plan's estimate of its size, which the joins of some searches in a row multiply beyond all bounds
+        path = shared_path(docs.sparkSession, "links")
+        pairs.mapInArrow(partial(_similar, width=width, least=least), "a long, b long").write.parquet(path)
+        written.append(path)
+        return docs.sparkSession.read.schema("a long, b long").parquet(path)
 
     sample = texts.where(F.pmod("t", F.lit(SAMPLED)) == 0)
     counted = settled(sample.mapInArrow(partial(_cells, width=width), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")))
@@ -556,17 +635,35 @@ def similar_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> D
     by_key = postings.repartition("key").sortWithinPartitions("key", F.desc("score"), "t").select("key", "t", "n")
     shared = settled(by_key.mapInArrow(_shared, "key long, t long, n int"))
 
-    prints = settled(texts.mapInArrow(partial(_prints, width=width), "t long, fp long"))
+    prints = settled(texts.mapInArrow(partial(_prints, width=width), "t long, fp long, sketch binary"))
     heads = settled(prints.groupBy("fp").agg(F.min("t").alias("head")))
     alike = prints.join(heads, "fp").where("t <> head").select(F.col("head").alias("a"), F.col("t").alias("b"))
     near = fingerprint_links(heads.select("fp")).toDF("x", "y").join(heads.toDF("x", "a"), "x").join(heads.toDF("y", "b"), "y").select("a", "b")
     golay = alike.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1).cast("long").alias("need"))
     hubs = shared.mapInArrow(partial(_hub_pairs, least=least), "a long, b long, need long")  # its partitions are still sorted
     links = verified(golay.union(hubs))
-    stars = connected_components(links)
-    placed = shared.join(stars, shared.t == stars.node, "left").select("key", "t", "n", F.coalesce("comp", "t").alias("comp"))
-    rest = placed.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_apart_pairs, least=least), "a long, b long, need long")
+    sketches = prints.select("t", "sketch").dropDuplicates(["t"])
+
+    def placed() -> tuple[DataFrame, DataFrame]:
+        """Rows (key, t, n, comp) of the keys of several components: of few texts, and of many with sketches."""
+        stars = connected_components(links)
+        found = shared.join(stars, shared.t == stars.node, "left").select("key", "t", "n", F.coalesce("comp", "t").alias("comp"))
+        keys = found.groupBy("key").agg((F.count("*") > FEW).alias("many"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        found = settled(found.join(settled(keys.where("lo <> hi").select("key", "many")), "key"))
+        many = found.where("many").join(sketches, "t").select("key", "t", "n", "comp", "sketch")
+        return found.where("not many").select("key", "t", "n", "comp"), many
+
+    def by_keys(rows: DataFrame, pairs) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(partial(pairs, least=least), "a long, b long, need long")
+
+    few, many = placed()
+    if not many.isEmpty():
+        links = links.union(verified(by_keys(many, _class_pairs)))
+        few, many = placed()
+    rest = by_keys(few, _apart_pairs).union(by_keys(many, _apart_pairs))
     stars = connected_components(links.union(verified(rest)))
+    for path in written:
+        delete_path(docs.sparkSession, path)
 
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")
     firsts = settled(rows.groupBy("t").agg(F.min(place).alias("first")).join(stars, F.col("t") == stars.node, "left").select("t", "first", F.coalesce("comp", "t").alias("comp")))

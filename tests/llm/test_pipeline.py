@@ -6,12 +6,13 @@ import os
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_operators import _without_repeats
 
 import corpus_pipeline as P
-from loomseq.llm import langid
+from loomseq.llm import langid, simhash
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, row string, size long, target string"
 
@@ -111,6 +112,40 @@ def test_near_dedup_against_all_pairs(spark):
     assert sorted(x.doc_id for x in out.collect()) == sorted(rows[i][0] for i in set(up))
 
 
+def test_near_dedup_of_copies_without_a_centre(spark, monkeypatch):
+    # many pairs are similar, but no text is similar to most of the others
+    r = random.Random(35)
+    base, rows = [f"w{r.randrange(3000)}" for _ in range(250)], []
+    for i in range(400):
+        ws = list(base)
+        for _ in range(r.randint(2, 5)):
+            ws[r.randrange(len(ws))] = f"w{r.randrange(3000)}"
+        rows.append((i, " ".join(ws)))
+    up, pairs = _near_classes(rows)
+    assert len(pairs) > 10_000 and len(set(up)) > 1
+    compared, settled = [], simhash.settled
+
+    def counted(df):
+        found = settled(df)
+        if found.columns == ["a", "b"]:
+            compared.append(found.count())
+        return found
+
+    monkeypatch.setattr(simhash, "settled", counted)
+    out = P.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(x.doc_id for x in out.collect()) == sorted(set(up))
+    assert max(compared) < 10 * len(rows)
+
+
+def test_sketches_rule_out_no_similar_pair():
+    r = np.random.default_rng(36)
+    for n in (0, 1, 30, 500, 5000):
+        x = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[n // 8 :], r.integers(0, 1 << 63, n // 8).astype(np.uint64)]))
+        bits = [np.frombuffer(simhash.sketch(s), np.uint64).reshape(1, -1) for s in (x, y)]
+        assert simhash._sketch_bits(bits[0], bits[1][0])[0] <= len(np.setxor1d(x, y))
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
 def test_stages_against_plain_loops(spark, tmp_path):
     tiktoken, tok = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
