@@ -275,6 +275,23 @@ def test_pairs_of_copies(spark, monkeypatch):
         assert {t: s for (i, t), s in got.items() if i == q.idx} == {t: pytest.approx(hits.count(t) / len(hits)) for t in hits}
 
 
+def test_a_task_counts_few_pairs_and_none_is_shuffled(spark, monkeypatch):
+    """Queries are dealt to more tasks the more markers differ, and what a task counts stays there."""
+    monkeypatch.setattr(K, "PAIRS", 1000, raising=False)
+    r = random.Random(7)
+    dna = lambda n: [(i, "".join(r.choice("ACGT") for _ in range(60)), f"m{i}") for i in range(n)]
+    reads, markers = dna(300), dna(40)
+    words = lambda s: {s[i : i + 3] for i in range(58)}
+    df = K.marker_gene_match(*(spark.createDataFrame(x, "idx long, seq string, name string") for x in (reads, markers)), 3, 0.0001)
+    got = df.withColumn("task", F.spark_partition_id()).collect()
+    want = {(i, m): len(w & v) / len(w | v) for i, s, _ in reads for _, t, m in markers for w, v in [(words(s), words(t))] if w & v}
+    assert len(got) == len(want) and {(x.idx, x.marker): x.jaccard for x in got} == pytest.approx(want)
+    tasks = [x.task for x in got]
+    assert max(map(tasks.count, set(tasks))) <= 2000
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("hashpartitioning(idx") == 1
+
+
 def test_few_rows_become_many_in_many_tasks(spark):
     """The copies' pairs are made by all tasks, and no pair is shuffled."""
     df = spark.range(1200).selectExpr("id AS idx", "if(id % 2 = 0, 'ACGTACGT', 'ACGTTTTT') AS seq", "concat('m', id) AS name")
